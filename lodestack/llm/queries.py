@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, toxicity, urls
+from . import licenses, media, mixing, ngram_join, toxicity, urls
 from .tables import table
 
 
@@ -27,6 +27,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and its component of near-equal documents."""
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's URL; the label of a page is that of the document with its id."""
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
@@ -42,4 +47,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.sql(), "op10_license_scan": licenses.sql()}
+    return {"op6_mixing": mixing.sql(), "op8_ngram_jaccard": ngram_join.sql(), "op10_license_scan": licenses.sql()}

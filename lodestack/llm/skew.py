@@ -17,3 +17,12 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Colum
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+#: Rows of a few numbers up to which a table is broadcast: some megabytes.
+FEW_ROWS = 100_000
+
+
+def few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a count shows that it has ``most`` narrow rows at most."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
