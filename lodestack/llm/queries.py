@@ -6,15 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, ngram_join, toxicity, urls
+from . import langid, licenses, media, mixing, ngram_join, toxicity, urls, warc
 from .tables import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document and of every page."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, table(spark, sf_dir, "pages"), langid.train(docs))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audio features of every document's bytes."""
     return media.audio_table(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, archived and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, replicated so that every source weighs the same, in shuffled order."""
     out = mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -47,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.sql(), "op8_ngram_jaccard": ngram_join.sql(), "op10_license_scan": licenses.sql()}
+    return {"op5_warc": warc.sql(), "op6_mixing": mixing.sql(), "op8_ngram_jaccard": ngram_join.sql(), "op10_license_scan": licenses.sql()}
