@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, media, mixing, ngram_join, toxicity, urls, warc
+from . import langid, licenses, linededup, media, mixing, ngram_join, toxicity, urls, warc
 from .tables import table
 
 
@@ -16,6 +16,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, table(spark, sf_dir, "pages"), langid.train(docs))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines that an earlier, near-equal line makes redundant."""
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audio features of every document's bytes."""
     return media.audio_table(table(spark, sf_dir, "documents"))
@@ -58,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.sql(), "op6_mixing": mixing.sql(), "op8_ngram_jaccard": ngram_join.sql(), "op10_license_scan": licenses.sql()}
+    return {"op2_line_dedup": linededup.sql(), "op5_warc": warc.sql(), "op6_mixing": mixing.sql(), "op8_ngram_jaccard": ngram_join.sql(), "op10_license_scan": licenses.sql()}
