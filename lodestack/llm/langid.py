@@ -110,7 +110,7 @@ def train(docs: DataFrame, most: int = TRAINING) -> Model:
 
 
 def likelihoods(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` without its text, with _letters (trigrams seen) and _ll (tempered log likelihoods by language)."""
+    """``df`` without its text, with _letters (trigrams seen), _ll (tempered log likelihoods by language) and _own (their softmax; zeros if no trigram was seen)."""
     others = [c for c in df.columns if c != text]
     table, width = model.table, max(1, len(model.languages))
     columns = [np.ascontiguousarray(table[:, i]) for i in range(table.shape[1])]
@@ -127,30 +127,25 @@ def likelihoods(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     ll[:, i] = total(np.where(counts, column[bucket], 0)) * scale
                 ll = np.round(ll - ll.max(axis=1, keepdims=True), 9)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (end - start + 1) * width, width), pa.int32()), pa.array(ll.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i)[start:end] for i in range(len(others))), pa.array(seen.astype(np.int64)), lists], names=[*others, "_letters", "_ll"])
+                own = np.exp(ll)
+                own *= ((seen > 0) / own.sum(axis=1))[:, None]
+                owns = pa.ListArray.from_arrays(lists.offsets, pa.array(own.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[start:end] for i in range(len(others))), pa.array(seen.astype(np.int64)), lists, owns], names=[*others, "_letters", "_ll", "_own"])
 
     ship(df.sparkSession)
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.select(*others).dtypes)
-    return df.select(*others, text).mapInArrow(work, f"{kinds}, _letters long, _ll array<double>")
-
-
-def _softmax(parts: list[Column]) -> list[Column]:
-    top = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    grown = [F.exp(p - top) for p in parts]
-    total = sum(grown[1:], grown[0])
-    return [g / total for g in grown]
+    return df.select(*others, text).mapInArrow(work, f"{kinds}, _letters long, _ll array<double>, _own array<double>")
 
 
 def fuse(rows: DataFrame, model: Model, scratch: Scratch, accept: float = ACCEPT) -> DataFrame:
     """Adds lang, posterior and accepted to rows of ``likelihoods`` that have _host and _declared."""
     names = model.languages
+    given = [c for c in rows.columns if c not in ("_ll", "_own", "_letters")]
     if not names:
-        return rows.withColumn("lang", F.lit("und")).withColumn("posterior", F.lit(0.0)).withColumn("accepted", F.lit(False)).drop("_ll", "_letters")
+        return rows.withColumn("lang", F.lit("und")).withColumn("posterior", F.lit(0.0)).withColumn("accepted", F.lit(False)).select(*given, "lang", "posterior", "accepted")
     suffix = F.regexp_extract("_host", r"\.([^.]+)$", 1)
     rows = rows.withColumn("_domain", F.regexp_extract("_host", r"([^.]*(\.[^.]*)?)$", 1)).withColumn("_seen", (F.col("_letters") > 0).cast("double"))
-    for i, p in enumerate(_softmax([F.col("_ll")[i] for i in range(len(names))])):
-        rows = rows.withColumn(f"_own{i}", p * F.col("_seen"))
-    hosts = rows.groupBy("_host", "_domain").agg(F.sum("_seen").alias("_hn"), *(F.sum(f"_own{i}").alias(f"_h{i}") for i in range(len(names))))
+    hosts = rows.groupBy("_host", "_domain").agg(F.sum("_seen").alias("_hn"), *(F.sum(F.col("_own")[i]).alias(f"_h{i}") for i in range(len(names))))
     hosts = scratch.save(hosts, "hosts")
     domains = scratch.save(hosts.groupBy("_domain").agg(F.sum("_hn").alias("_dn"), *(F.sum(f"_h{i}").alias(f"_d{i}") for i in range(len(names)))), "domains")
     every = domains.agg(F.sum("_dn").alias("n"), *(F.sum(f"_d{i}").alias(f"g{i}") for i in range(len(names)))).first()
@@ -160,8 +155,8 @@ def fuse(rows: DataFrame, model: Model, scratch: Scratch, accept: float = ACCEPT
     rows = rows.drop("_domain").join(few(hosts), "_host")
     parts = []
     for i, name in enumerate(names):
-        domain = (F.col(f"_d{i}") - F.col(f"_own{i}") + SMOOTH * world[i]) / (F.col("_dn") - F.col("_seen") + SMOOTH)
-        host = (F.col(f"_h{i}") - F.col(f"_own{i}") + SMOOTH * domain) / (F.col("_hn") - F.col("_seen") + SMOOTH)
+        domain = (F.col(f"_d{i}") - F.col("_own")[i] + SMOOTH * world[i]) / (F.col("_dn") - F.col("_seen") + SMOOTH)
+        host = (F.col(f"_h{i}") - F.col("_own")[i] + SMOOTH * domain) / (F.col("_hn") - F.col("_seen") + SMOOTH)
         part = F.col("_ll")[i] + F.log(F.greatest(host, F.lit(1e-9)))
         for said, trust in ((F.when(F.col("_declared").isin(*names), F.col("_declared")), DECLARED), (_country(suffix, names), SUFFIX)):
             wrong = (1 - trust) / max(1, len(names) - 1)
@@ -175,7 +170,7 @@ def fuse(rows: DataFrame, model: Model, scratch: Scratch, accept: float = ACCEPT
         best = F.when(F.col(f"_part{i}") == top, names[i]).otherwise(best)
     sure = F.lit(1.0) / sum((F.exp(F.col(f"_part{i}") - top) for i in range(1, len(names))), F.exp(F.col("_part0") - top))
     rows = rows.withColumn("lang", F.when(F.col("_seen") > 0, best).otherwise("und")).withColumn("posterior", F.round(F.when(F.col("_seen") > 0, sure).otherwise(0.0), 6))
-    return rows.withColumn("accepted", (F.col("_seen") > 0) & (F.col("posterior") >= accept)).drop(*(c for c in rows.columns if c.startswith("_") and c not in ("_host", "_declared")))
+    return rows.withColumn("accepted", (F.col("_seen") > 0) & (F.col("posterior") >= accept)).select(*given, "lang", "posterior", "accepted")
 
 
 def _country(suffix: Column, names: tuple[str, ...]) -> Column:
@@ -210,3 +205,18 @@ def identify(docs: DataFrame | None, pages: DataFrame | None, model: Model, acce
         evidence = scratch.save(likelihoods(rows, model), "evidence")
         out = fuse(evidence, model, scratch, accept)
         return checkpointed(out.select("doc_id", "page_id", F.col("_host").alias("host"), F.when(F.col("_declared") != "", F.col("_declared")).alias("declared"), "lang", "posterior", "accepted"))
+
+
+def accepted_documents(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
+    """``docs`` (its own columns) without the rows whose language stays in doubt.
+
+    A row is known by its id and text, so rows with equal ids are judged apart.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), key.alias("_key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host"), F.lit("").alias("_declared"), F.col("text").cast("string").alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        evidence = scratch.save(likelihoods(rows, model), "evidence")
+        bad = checkpointed(fuse(evidence, model, scratch, accept).where(~F.col("accepted")).select("_id", "_key").distinct())
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), key.alias("_mine"))
+    out = keyed.join(few(bad), keyed["_doc"].eqNullSafe(bad["_id"]) & (keyed["_mine"] == bad["_key"]), "left_anti")
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -40,7 +40,7 @@ from ..shipping import ship
 from .bytescan import LOWER, NOT_SPACE, mix, shingle_hashes, text_blocks, word_bounds, word_hashes
 from .components import connected_components
 from .scratch import Scratch, checkpointed
-from .skew import few
+from .skew import few, without
 
 #: Chance, per element, that a small subset is shared by an unrelated set.
 CHANCE = 1 / 8
@@ -207,6 +207,12 @@ def similar_documents(df: DataFrame, k: int = 3, percent: int = 90, text: str =
         return checkpointed(done.unionByName(bare))
 
 
+def one_of_each(df: DataFrame, k: int = 3, percent: int = 90, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """``df`` without the documents that are linked, over any number of links, with one of a smaller id."""
+    found = similar_documents(df, k, percent, text, id)
+    return without(df, checkpointed(found.where("doc_id <> component_id").select("doc_id").distinct()), id)
+
+
 def sql(k: int = 3, percent: int = 90) -> str:
     """The same over ``documents``, for DuckDB: all pairs that share a shingle, counted."""
     grams = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))

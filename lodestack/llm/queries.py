@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, linededup, media, mixing, ngram_join, toxicity, urls, warc
+from . import decontaminate, langid, licenses, linededup, media, mixing, ngram_join, toxicity, urls, warc
 from .tables import table
 
 
@@ -21,6 +21,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audio features of every document's bytes."""
     return media.audio_table(table(spark, sf_dir, "documents"))

@@ -26,3 +26,10 @@ FEW_ROWS = 100_000
 def few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     """``df`` marked for broadcast if a count shows that it has ``most`` narrow rows at most."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def without(df: DataFrame, ids: DataFrame, id: str) -> DataFrame:
+    """``df``, whatever its columns are called, without the rows whose ``id`` is in ``ids`` (one column); null ids stay."""
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(id).cast("long").alias("_id"))
+    out = rows.join(few(ids.toDF("_id")), "_id", "left_anti")
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns))
