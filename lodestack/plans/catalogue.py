@@ -1,15 +1,391 @@
-"""The queries over the driver's tables, by name."""
+"""The queries over the driver's tables, by name, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..constants import EXTENSIONS, IMAGE_EXTENSIONS, SPECIAL_FILES, TOO_LARGE
+from ..functions import columns as C
+from ..operators import assembly, budget, inventory
+from ..sources.tables import as_mixed_files, as_text_files, conversation_pages, read
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _n(x: str) -> str:
+    return f"ceil(({x})::DOUBLE / 4.0::DOUBLE)::BIGINT"
+
+
+def _m(x: str, margin: float = 0.15) -> str:
+    return f"ceil(({x})::DOUBLE * (1.0::DOUBLE + {margin}::DOUBLE))::BIGINT"
+
+
+_TXT = "(SELECT doc_id AS ord, 'doc_' || doc_id || '.txt' AS relative_path, 'txt' AS file_type, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS size_bytes, 0 AS page_count, 0 AS image_count, 'utf-8' AS encoding, [0][:0] AS chars, false AS ignored FROM documents)"
+_EXT = "(['txt','md','html','csv','json','pdf','exe','jpg'])[doc_id % 8 + 1]"
+_MIXED = f"(SELECT doc_id AS ord, source || '/doc_' || doc_id || '.' || {_EXT} AS relative_path, 'doc_' || doc_id || '.' || {_EXT} AS name, {_EXT} AS file_type, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS size_bytes, CASE WHEN {_EXT} = 'pdf' THEN 1 ELSE 0 END AS page_count, CASE WHEN doc_id % 5 = 0 THEN (doc_id % 3)::INTEGER ELSE 0 END AS image_count, CASE WHEN {_EXT} IN ('txt','md','html','csv','json') THEN 'utf-8' END AS encoding, CASE WHEN {_EXT} = 'pdf' THEN [length(coalesce(text, ''))] ELSE [0][:0] END AS chars, {_EXT} IN ('exe','jpg') AS ignored, lang, source FROM documents)"
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_BARE = rf"regexp_replace(text, '\A{_WHITE}|{_WHITE}\z', '', 'g')"
+_LOW = f"(length({_BARE}) < 80 OR (len(chars) > 0 AND (list_sum(chars)::DOUBLE / len(chars) < 50 OR (image_count > 0 AND len(list_filter(chars, lambda x: x < 20))::DOUBLE / len(chars) >= 0.3))))"
+_STATUS = f"CASE WHEN ignored THEN 'ignored' WHEN {_LOW} THEN 'low_text' WHEN image_count > 0 THEN 'images' ELSE 'ready' END"
+
+
+def _header(tokens: str, margined: str) -> str:
+    return f"""concat_ws(chr(10), '---', '## SOURCE: ' || relative_path, '- type: ' || file_type, '- taille_octets: ' || size_bytes, CASE WHEN page_count > 0 THEN '- pages_ou_diapos: ' || page_count END,
+ '- tokens_estimes: ' || {tokens}, '- tokens_avec_marge: ' || {margined}, CASE WHEN image_count > 0 THEN '- images: ' || image_count END,
+ CASE base_status WHEN 'images' THEN '- alerte: images' WHEN 'low_text' THEN '- alerte: peu_de_texte' END, CASE WHEN encoding <> '' THEN '- encodage: ' || encoding END, '---')"""
+
+
+def _estimated(files: str, margin: float = 0.15) -> str:
+    """CTEs up to ``est``: the fixed point in seven rounds."""
+    rounds = "".join(
+        f", r{i} AS (SELECT *, {_n(f'b{i - 1}')} AS t{i}, {_m(_n(f'b{i - 1}'), margin)} AS m{i}, fixed + length({_n(f'b{i - 1}')}::VARCHAR) + length({_m(_n(f'b{i - 1}'), margin)}::VARCHAR) AS b{i} FROM r{i - 1})"
+        for i in range(1, 8)
+    )
+    return f"""WITH f AS (SELECT *, {_STATUS} AS base_status FROM {files}),
+r0 AS (SELECT *, strlen({_header("''", "''")}) + 2 + strlen(text) AS fixed, strlen(text) AS b0 FROM f){rounds},
+est AS (SELECT * EXCLUDE (ignored), CASE WHEN ignored THEN 0 ELSE b7 END::BIGINT AS bytes_utf8, CASE WHEN ignored THEN 0 ELSE {_n('b7')} END::BIGINT AS tokens_estimated, CASE WHEN ignored THEN 0 ELSE {_m(_n('b7'), margin)} END::BIGINT AS tokens_with_margin FROM r7)"""
+
+
+def _txt(spark, sf, margin=0.15):
+    return budget.with_estimate(budget.with_status(as_text_files(read(spark, sf, "documents"))), margin)
+
+
+def _mixed(spark, sf, margin=0.15):
+    return budget.with_estimate(budget.with_status(as_mixed_files(read(spark, sf, "documents"))), margin)
+
+
+# --- estimates ---
+
+
+@query(f"SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes_utf8, {_n('strlen(coalesce(text, chr(0)[:0]))')} AS tokens_estimated, {_m(_n('strlen(coalesce(text, chr(0)[:0]))'))} AS tokens_with_margin FROM documents".replace("chr(0)[:0]", "''"))
+def token_estimate(spark, sf):
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    tokens = C.approx_tokens(size)
+    return read(spark, sf, "documents").select("doc_id", size.alias("bytes_utf8"), tokens.alias("tokens_estimated"), C.with_margin(tokens).alias("tokens_with_margin"))
+
+
+@query("SELECT doc_id, " + ", ".join(f"{_m('n_chars', m)} AS m{round(m * 100)}" for m in (0.0, 0.1, 0.2, 0.5)) + " FROM documents")
+def token_margin_sweep(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", *(C.with_margin(F.col("n_chars"), m).alias(f"m{round(m * 100)}") for m in (0.0, 0.1, 0.2, 0.5)))
+
+
+@query(_estimated(_TXT) + " SELECT ord AS doc_id, bytes_utf8, tokens_estimated, tokens_with_margin, tokens_with_margin > 8000 AS over_limit FROM est")
+def source_context_estimate(spark, sf):
+    return _txt(spark, sf).select(F.col("ord").alias("doc_id"), "bytes_utf8", "tokens_estimated", "tokens_with_margin", C.over_limit(F.col("tokens_with_margin"), 8000).alias("over_limit"))
+
+
+@query(_estimated(_MIXED) + f" SELECT ord AS doc_id, {_header('tokens_estimated', 'tokens_with_margin')} AS header FROM est")
+def source_header_text(spark, sf):
+    return _mixed(spark, sf).select(F.col("ord").alias("doc_id"), C.source_header(F.col("tokens_estimated"), F.col("tokens_with_margin")).alias("header"))
+
+
+@query(f"SELECT ord AS doc_id, {_LOW} AS low_text, length(text)::BIGINT AS text_length, strlen(text)::BIGINT AS text_bytes, image_count > 0 AS has_images FROM {_MIXED}")
+def low_text_flag(spark, sf):
+    f = as_mixed_files(read(spark, sf, "documents"))
+    return f.select(F.col("ord").alias("doc_id"), C.low_text(F.col("text"), F.col("chars_per_page"), F.col("image_count")).alias("low_text"), F.length("text").cast("long").alias("text_length"), F.col("size_bytes").alias("text_bytes"), (F.col("image_count") > 0).alias("has_images"))
+
+
+@query(f"SELECT ord AS doc_id, {_STATUS} AS base_status, {_STATUS} = 'images' AS is_warning, {_STATUS} = 'low_text' AS is_alert, {_STATUS} IN ('ready','images','low_text') AS is_extracted FROM {_MIXED}")
+def file_status(spark, sf):
+    s = F.col("base_status")
+    return budget.with_status(as_mixed_files(read(spark, sf, "documents"))).select(F.col("ord").alias("doc_id"), s, C.is_warning(s).alias("is_warning"), C.is_alert(s).alias("is_alert"), C.is_extracted(s).alias("is_extracted"))
+
+
+@query("""WITH p AS (SELECT conv_id, list(length(coalesce(text, '')) ORDER BY turn) AS c FROM conversations GROUP BY 1)
+SELECT conv_id, len(c)::INTEGER AS pages, round(list_sum(c)::DOUBLE / len(c), 6) AS average, round(len(list_filter(c, lambda x: x < 20))::DOUBLE / len(c), 6) AS sparse_share FROM p""")
+def sparse_page_stats(spark, sf):
+    c = F.col("chars_per_page")
+    return conversation_pages(read(spark, sf, "conversations")).select("conv_id", F.size(c).alias("pages"), F.round(C.page_average(c), 6).alias("average"), F.round(C.sparse_share(c), 6).alias("sparse_share"))
+
+
+# --- budget ---
+
+
+@query(_estimated(_TXT) + " SELECT ord AS doc_id, relative_path, tokens_with_margin FROM est WHERE tokens_with_margin > 8000")
+def over_limit_files(spark, sf):
+    return budget.blocked(_txt(spark, sf), 8000).where(F.col("status") == TOO_LARGE).select(F.col("ord").alias("doc_id"), "relative_path", "tokens_with_margin")
+
+
+@query(_estimated(_MIXED) + f", s AS (SELECT count(*) AS n_files, sum(bytes_utf8)::BIGINT AS bytes_utf8 FROM est) SELECT n_files, bytes_utf8, {_n('bytes_utf8')} AS tokens_estimated, {_m(_n('bytes_utf8'))} AS tokens_with_margin FROM s")
+def corpus_totals(spark, sf):
+    return budget.corpus_totals(_mixed(spark, sf))
+
+
+_DECIDE = f""", s AS (SELECT count(*) AS n_files, sum(bytes_utf8)::BIGINT AS bytes_utf8, count(*) FILTER (tokens_with_margin > {{0}} AND base_status IN ('ready','images','low_text')) AS n_blocking, arg_min(relative_path, ord) FILTER (tokens_with_margin > {{0}}) AS first_blocking, arg_min(tokens_with_margin, ord) FILTER (tokens_with_margin > {{0}}) AS first_tokens FROM est)
+SELECT {{0}} AS context_limit, n_files, bytes_utf8, {_n('bytes_utf8')} AS tokens_estimated, {_m(_n('bytes_utf8'))} AS tokens_with_margin, n_blocking, first_blocking, first_tokens, {_m(_n('bytes_utf8'))} > {{0}} AS total_over, n_blocking > 0 OR {_m(_n('bytes_utf8'))} > {{0}} AS is_blocked FROM s"""
+
+
+@query(_estimated(_TXT) + _DECIDE.format(8000))
+def block_decision(spark, sf):
+    return budget.decision(_txt(spark, sf), 8000).select(F.lit(8000).alias("context_limit"), "*")
+
+
+@query(_estimated(_TXT) + " SELECT coalesce(string_agg(relative_path, ', ' ORDER BY ord), '') AS names FROM est WHERE tokens_with_margin > 4000")
+def block_reason(spark, sf):
+    over = budget.blocked(_txt(spark, sf), 4000).where(F.col("status") == TOO_LARGE)
+    names = F.array_sort(F.collect_list(F.struct("ord", "relative_path")))
+    return over.agg(F.array_join(F.transform(names, lambda x: x["relative_path"]), ", ").alias("names"))
+
+
+@query(f"SELECT {_STATUS} AS base_status, count(*) AS n FROM {_MIXED} GROUP BY 1")
+def status_counts(spark, sf):
+    return budget.status_counts(budget.with_status(as_mixed_files(read(spark, sf, "documents"))))
+
+
+_BLOCKED = "CASE WHEN tokens_with_margin > 1500 AND base_status IN ('ready','images','low_text') THEN 'too_large' ELSE base_status END"
+
+
+@query(_estimated(_MIXED) + f", b AS (SELECT ord, {_BLOCKED} AS status FROM est) SELECT ord AS doc_id, status, CASE status WHEN 'ready' THEN 0 WHEN 'images' THEN 1 WHEN 'low_text' THEN 2 WHEN 'ignored' THEN 3 WHEN 'error' THEN 4 ELSE 5 END::INTEGER AS severity, CASE status WHEN 'ready' THEN '#22c55e' WHEN 'images' THEN '#eab308' WHEN 'low_text' THEN '#f97316' WHEN 'ignored' THEN '#9ca3af' ELSE '#ef4444' END AS colour FROM b")
+def status_severity(spark, sf):
+    b = budget.blocked(_mixed(spark, sf), 1500)
+    return b.select(F.col("ord").alias("doc_id"), "status", C.severity(F.col("status")).alias("severity"), C.colour(F.col("status")).alias("colour"))
+
+
+@query(_estimated(_TXT) + f", s AS (SELECT l AS context_limit, count(*) FILTER (tokens_with_margin > l) AS n_blocking, sum(bytes_utf8)::BIGINT AS b FROM est, (VALUES (8000), (128000), (1000000)) v(l) GROUP BY 1) SELECT context_limit, n_blocking, n_blocking > 0 OR {_m(_n('b'))} > context_limit AS is_blocked, CASE WHEN {_m(_n('b'))} >= context_limit THEN 'red' WHEN {_m(_n('b'))}::DOUBLE / context_limit >= 0.8 THEN 'orange' ELSE 'green' END AS gauge FROM s")
+def recompute_limit(spark, sf):
+    files, out = _txt(spark, sf), None
+    for limit in (8000, 128_000, 1_000_000):
+        row = budget.decision(files, limit).select(F.lit(limit).alias("context_limit"), "n_blocking", "is_blocked", C.gauge(F.col("tokens_with_margin"), limit).alias("gauge"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(_estimated(_TXT) + f", s AS (SELECT count(*) AS n_files, sum(bytes_utf8)::BIGINT AS bytes_utf8 FROM est WHERE ord NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT n_files, bytes_utf8, {_n('bytes_utf8')} AS tokens_estimated, {_m(_n('bytes_utf8'))} AS tokens_with_margin FROM s")
+def recompute_removed(spark, sf):
+    gone = read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("ord"))
+    return budget.corpus_totals(_txt(spark, sf).join(gone, "ord", "left_anti"))
+
+
+# --- inventory ---
+
+_SPECIAL = " OR ".join(f"name GLOB '{p}'" for p in SPECIAL_FILES)
+_NAMES = f"(SELECT doc_id, CASE doc_id % 16 WHEN 8 THEN '~$doc_' || doc_id || '.docx' WHEN 9 THEN 'Thumbs.db' WHEN 10 THEN 'x_rapport.md' WHEN 11 THEN 'NOTES.MD' WHEN 12 THEN 'tmp_' || doc_id || '.txt' WHEN 13 THEN '.bashrc' ELSE 'doc_' || doc_id || '.' || {_EXT} END AS name FROM documents)"
+
+
+def _names(spark, sf):
+    d = read(spark, sf, "documents")
+    id = F.col("doc_id").cast("string")
+    from ..sources.tables import virtual_extension
+
+    odd = {8: F.concat(F.lit("~$doc_"), id, F.lit(".docx")), 9: F.lit("Thumbs.db"), 10: F.lit("x_rapport.md"), 11: F.lit("NOTES.MD"), 12: F.concat(F.lit("tmp_"), id, F.lit(".txt")), 13: F.lit(".bashrc")}
+    name = F.concat(F.lit("doc_"), id, F.lit("."), virtual_extension(F.col("doc_id")))
+    for k, v in odd.items():
+        name = F.when(F.col("doc_id") % 16 == k, v).otherwise(name)
+    return d.select("doc_id", name.alias("name"))
+
+
+_SUFFIX = r"lower(regexp_extract(name, '.(\.[^.]+)$', 1))"
+_IN = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+_REASON = f"CASE WHEN {_SPECIAL} THEN 'special' WHEN name GLOB 'tmp_*' THEN 'excluded' WHEN {_SUFFIX} NOT IN {_IN(EXTENSIONS)} AND {_SUFFIX} IN {_IN(IMAGE_EXTENSIONS)} THEN 'image' WHEN {_SUFFIX} NOT IN {_IN(EXTENSIONS)} THEN 'unsupported' END"
+
+
+@query(f"SELECT doc_id, name, {_SUFFIX} AS ext FROM {_NAMES} WHERE {_SUFFIX} IN {_IN(EXTENSIONS)}")
+def ext_whitelist(spark, sf):
+    ext = C.suffix(F.col("name"))
+    return _names(spark, sf).select("doc_id", "name", ext.alias("ext")).where(F.col("ext").isin(*EXTENSIONS))
+
+
+@query(f"SELECT doc_id, name, {_REASON} AS reason FROM {_NAMES}")
+def ignore_reason(spark, sf):
+    return _names(spark, sf).select("doc_id", "name", C.ignore_reason(F.col("name"), exclude=("tmp_*",)).alias("reason"))
+
+
+@query(f"SELECT doc_id, name FROM {_NAMES} WHERE NOT (name GLOB 'doc_*1?.*' OR name GLOB '*[02].txt')")
+def exclude_glob(spark, sf):
+    return _names(spark, sf).where(~C.matches_any(F.col("name"), ("doc_*1?.*", "*[02].txt")))
+
+
+@query(f"SELECT doc_id, name FROM {_NAMES} WHERE {_SPECIAL}")
+def special_ignore(spark, sf):
+    return _names(spark, sf).where(C.matches_any(F.col("name"), SPECIAL_FILES))
+
+
+@query(f"SELECT {_REASON} AS reason, count(*) AS n FROM {_NAMES} GROUP BY 1 HAVING {_REASON} IS NOT NULL".replace("GROUP BY 1 HAVING " + _REASON + " IS NOT NULL", f"WHERE {_REASON} IS NOT NULL GROUP BY 1"))
+def ignored_rows(spark, sf):
+    return inventory.split(_names(spark, sf), exclude=("tmp_*",))[1].groupBy(F.col("reason_code").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_NATURAL = "list_transform(regexp_extract_all(lower({0}), '([0-9]+|[^0-9]+)'), lambda x: {{'k': CASE WHEN x[1] BETWEEN '0' AND '9' THEN 1 ELSE 0 END, 's': CASE WHEN x[1] BETWEEN '0' AND '9' THEN '' ELSE x END, 'n': CASE WHEN x[1] BETWEEN '0' AND '9' THEN x::HUGEINT ELSE 0 END}})"
+
+
+@query(f"SELECT ord AS doc_id, (row_number() OVER (ORDER BY {_NATURAL.format('relative_path')}, relative_path) - 1)::BIGINT AS ord FROM {_MIXED}")
+def natural_sort_rank(spark, sf):
+    f = as_mixed_files(read(spark, sf, "documents")).select(F.col("ord").alias("doc_id"), F.col("relative_path").alias("path"), "relative_path", "size_bytes")
+    return inventory.ordinals(f, inventory.sort_order("name")).select("doc_id", "ord")
+
+
+@query(f"SELECT ord AS doc_id, (row_number() OVER (ORDER BY file_type, {_NATURAL.format('relative_path')}, relative_path) - 1)::BIGINT AS ord FROM {_MIXED}")
+def sort_type_rank(spark, sf):
+    f = as_mixed_files(read(spark, sf, "documents")).select(F.col("ord").alias("doc_id"), F.col("relative_path").alias("path"), "relative_path", F.col("extension").alias("ext"))
+    return inventory.ordinals(f, inventory.sort_order("type")).select("doc_id", "ord")
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY ts DESC, event_id::VARCHAR) - 1)::BIGINT AS ord FROM events")
+def sort_mtime_rank(spark, sf):
+    f = read(spark, sf, "events").select("event_id", F.col("ts").alias("mtime"), F.col("event_id").cast("string").alias("path"))
+    return inventory.ordinals(f, inventory.sort_order("mtime")).select("event_id", "ord")
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(coalesce(text, ''))")
+def dedup_first_wins(spark, sf):
+    """The first of equal texts; a grouped minimum, so a text with very many copies stays spread."""
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return read(spark, sf, "documents").groupBy(key.alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'removed' ELSE 'kept' END AS side FROM documents")
+def exclude_anti_join(spark, sf):
+    d, gone = read(spark, sf, "documents").select("doc_id"), read(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    return d.join(gone, "doc_id", "left_anti").withColumn("side", F.lit("kept")).unionByName(d.join(gone, "doc_id", "left_semi").withColumn("side", F.lit("removed")))
+
+
+@query("""SELECT key, min(source_idx)::INTEGER AS source_idx FROM (SELECT doc_id AS key, 0 AS source_idx FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT page_id, 2 FROM pages) GROUP BY 1""")
+def multi_source_union(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("key"))
+    parts = [d.where("key % 2 = 0"), d.where("key % 3 = 0"), read(spark, sf, "pages").select(F.col("page_id").alias("key"))]
+    rows = [p.withColumn("source_idx", F.lit(i)).withColumn("path", F.col("key").cast("string")) for i, p in enumerate(parts)]
+    return inventory.first_wins(rows[0].unionByName(rows[1]).unionByName(rows[2]), "key", [F.col("source_idx"), F.col("path")]).select("key", "source_idx")
+
+
+@query()
+def unique_labels(spark, sf):
+    """Labels of pages that have the same file name, made different by their folders."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    p = read(spark, sf, "pages").select(F.lit(0).alias("source_idx"), F.concat(F.lit("/"), host, F.lit("/"), F.col("page_id").cast("string"), F.lit("/page.html")).alias("path"), F.when(F.col("page_id") < 20, F.lit("page.html")).otherwise(F.concat(host, F.lit("/"), F.col("page_id").cast("string"))).alias("preferred"))
+    return inventory.labelled(p).select("path", "relative_path")
+
+
+# --- corpus and reports ---
+
+_TICKED = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a ' || repeat('`', (doc_id % 7)::INTEGER) || ' b' || coalesce(text, '') ELSE coalesce(text, '') END AS text FROM documents)"
+
+
+@query(f"""SELECT doc_id, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0))::BIGINT) AS fence, contains(text, '```') AS fenced FROM {_TICKED}""")
+def adaptive_fence(spark, sf):
+    d = read(spark, sf, "documents")
+    text = F.coalesce("text", F.lit(""))
+    ticked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a "), F.repeat(F.lit("`"), (F.col("doc_id") % 7).cast("int")), F.lit(" b"), text)).otherwise(text)
+    return d.select("doc_id", ticked.alias("text")).select("doc_id", C.fence(F.col("text")).alias("fence"), F.contains("text", F.lit("```")).alias("fenced"))
+
+
+_BLOCK = f"{_header('tokens_estimated', 'tokens_with_margin')} || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10)"
+
+
+@query(_estimated(_MIXED) + f" SELECT ord, {_BLOCK} AS block FROM est WHERE base_status <> 'ignored' AND tokens_with_margin <= 128000")
+def corpus_blocks(spark, sf):
+    return assembly.corpus_blocks(budget.blocked(_mixed(spark, sf)))
+
+
+@query(_estimated(_MIXED) + " SELECT lang, count(*) AS n_files, sum(tokens_with_margin)::BIGINT AS tokens, sum(strlen(text))::BIGINT AS bytes FROM est WHERE base_status <> 'ignored' GROUP BY 1")
+def corpus_by_lang(spark, sf):
+    return _mixed(spark, sf).where(C.is_extracted(F.col("base_status"))).groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"), F.sum("tokens_with_margin").alias("tokens"), F.sum("size_bytes").alias("bytes"))
+
+
+@query(_estimated(_MIXED) + ", l AS (SELECT * FROM est) SELECT ord, '| ' || relative_path || ' | ' || file_type || ' | ' || replace(format('{:,}', tokens_estimated), ',', chr(160)) || ' | ' || replace(format('{:,}', tokens_with_margin), ',', chr(160)) || ' | ' || CASE base_status WHEN 'ready' THEN 'Prêt' WHEN 'images' THEN 'Images' WHEN 'low_text' THEN 'Peu de texte' ELSE 'Ignoré' END || ' |' AS row, length(text)::INTEGER AS text_length FROM l")
+def report_rows(spark, sf):
+    return assembly.report_rows(budget.blocked(_mixed(spark, sf), 10**12)).select("ord", "row", "text_length")
+
+
+@query("SELECT doc_id, replace(format('{:,}', n_chars * 1000), ',', chr(160)) AS fr, format('{:,}', n_chars * 1000) AS en FROM documents")
+def number_format(spark, sf):
+    n = F.col("n_chars") * 1000
+    return read(spark, sf, "documents").select("doc_id", C.format_number(n, "fr").alias("fr"), C.format_number(n, "en").alias("en"))
+
+
+@query("SELECT doc_id, replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents")
+def xml_escape(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", C.xml_escape(F.coalesce("text", F.lit(""))).alias("escaped"))
+
+
+# --- readers over table columns ---
+
+
+def _read_column(df: DataFrame, id: str, content, extension: str) -> DataFrame:
+    """The reader for ``extension`` over a column of bytes."""
+    import pandas as pd
+
+    from ..shipping import ship
+    from ..sources.readers import safe_read
+
+    def work(batches):
+        for b in batches:
+            found = [safe_read(bytes(raw), extension) for raw in b["raw"]]
+            yield pd.DataFrame({"id": b["id"], "text": [f.text for f in found], "status": [f.status for f in found], "image_count": [f.image_count for f in found], "encoding": [f.encoding for f in found], "error_message": [f.error_message for f in found]})
+
+    ship(df.sparkSession)
+    return df.select(F.col(id).cast("long").alias("id"), content.cast("binary").alias("raw")).mapInPandas(work, "id long, text string, status string, image_count int, encoding string, error_message string")
+
+
+@query()
+def html_extract(spark, sf):
+    p = read(spark, sf, "pages")
+    return _read_column(p, "page_id", F.coalesce("html", F.lit("")), ".html").select(F.col("id").alias("page_id"), "text", "image_count")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<img[ >/]'))::INTEGER AS image_count FROM pages")
+def html_image_count(spark, sf):
+    return read(spark, sf, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(<img[ >/])"))).alias("image_count"))
+
+
+@query("""SELECT event_id AS id, '{' || chr(10) || '  "k": ' || regexp_extract(props, '([0-9]+)', 1) || chr(10) || '}' AS text FROM events""")
+def json_pretty(spark, sf):
+    return _read_column(read(spark, sf, "events"), "event_id", F.col("props"), ".json").select("id", "text")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, 'key | name | region' || chr(10) || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey AS text FROM nation")
+def csv_join_text(spark, sf):
+    raw = F.concat(F.lit("key;name;region\n"), F.concat_ws(";", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")))
+    return _read_column(read(spark, sf, "nation"), "n_nationkey", raw, ".csv").select("id", "text")
+
+
+@query("SELECT conv_id * 100 + turn AS id, '**Sujet** : ' || role || chr(10) || '**De** : a@example.org' || chr(10) || chr(10) || replace(coalesce(text, ''), chr(13), '') || chr(10) AS text FROM conversations WHERE coalesce(text, '') <> ''")
+def eml_extract(spark, sf):
+    c = read(spark, sf, "conversations").where("coalesce(text, '') <> ''").withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
+    raw = F.concat(F.lit("Subject: "), F.col("role"), F.lit("\nFrom: a@example.org\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.regexp_replace("text", "\r", ""), F.lit("\n"))
+    return _read_column(c, "id", raw, ".eml").select("id", "text")
+
+
+@query("SELECT r_regionkey::BIGINT AS id, '<region>' || chr(10) || '  <key>' || r_regionkey || '</key>' || chr(10) || '  <name>' || r_name || '</name>' || chr(10) || '</region>' AS text FROM region")
+def xml_pretty(spark, sf):
+    raw = F.concat(F.lit("<?xml version='1.0'?><!-- c --><region><key>"), F.col("r_regionkey").cast("string"), F.lit("</key><name>"), F.col("r_name"), F.lit("</name></region>"))
+    return _read_column(read(spark, sf, "region"), "r_regionkey", raw, ".xml").select("id", "text")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 1 THEN 'utf-16' WHEN doc_id % 3 = 2 THEN 'utf-8-sig' ELSE 'utf-8' END AS encoding, coalesce(text, '') AS text FROM documents")
+def encoding_detect(spark, sf):
+    text = F.coalesce("text", F.lit(""))
+    kind = F.col("doc_id") % 3
+    raw = F.when(kind == 1, F.encode(text, "UTF-16")).when(kind == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
+    raw = F.when((kind == 1) & (text == ""), F.unhex(F.lit("FEFF"))).otherwise(raw)
+    return _read_column(read(spark, sf, "documents"), "doc_id", raw, ".txt").select("id", "encoding", "text")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'error' ELSE 'ready' END AS status FROM documents")
+def error_rows(spark, sf):
+    """Every second file is malformed; none stops the others."""
+    raw = F.when(F.col("doc_id") % 2 == 0, F.lit("{broken")).otherwise(F.lit('{"k": 1}'))
+    return _read_column(read(spark, sf, "documents"), "doc_id", raw, ".json").select("id", "status")
