@@ -14,7 +14,7 @@ Defined results: a null source is the source ""; a null id counts as "" in the
 hash; rows with equal ids get equal counts, each row its own copies; null and
 empty texts are replicated like any other; a source without a weight gets none of
 the output; an empty table gives an empty table; extra columns are carried along,
-but the operator's own (copy, n_copies, shuffle_key) replace columns of that name.
+but the operator's own (copy, n_copies, rate, shuffle_key) replace columns of that name.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ SEED = 17
 PART = 256.0
 #: Sources up to which their table of rates is broadcast.
 FEW = 4096
-OWN = ("copy", "n_copies", "shuffle_key")
+OWN = ("copy", "n_copies", "rate", "shuffle_key")
 
 
 def uniform(*parts: Column) -> Column:
@@ -62,19 +62,19 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
 
 def replicate(df: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, source: str = "source", id: str = "doc_id") -> DataFrame:
     """``df``'s columns with rate, n_copies and copy (from 0), in the order of shuffle_key."""
-    docs = df.drop(*OWN, "rate").withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
+    carried = [c for c in df.columns if c not in OWN]
+    docs = df.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("_row"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), F.coalesce(F.col(id).cast("string"), F.lit("")).alias("_id"))
     table = rates(docs.select("_source"), weights)
     if table.select("_source").limit(FEW + 1).count() <= FEW:
         docs = docs.join(F.broadcast(table), "_source")
     else:
-        docs = salted_join(docs, table, ["_source"], F.col(id), "inner")
-    name = F.coalesce(F.col(id).cast("string"), F.lit(""))
-    drawn = lambda part: F.size(F.filter(F.col("_cdf"), lambda c: c <= uniform(F.lit(str(seed)), name, part.cast("string"))))
+        docs = salted_join(docs, table, ["_source"], F.col("_id"), "inner")
+    drawn = lambda part: F.size(F.filter(F.col("_cdf"), lambda c: c <= uniform(F.lit(str(seed)), F.col("_id"), part.cast("string"))))
     count = F.when(F.col("_parts") == 1, drawn(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda total, part: total + drawn(part)))
-    docs = docs.withColumn("n_copies", count).where("n_copies > 0").drop("_source", "_parts", "_cdf")
+    docs = docs.withColumn("n_copies", count).where("n_copies > 0")
     copies = docs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), name, F.col("copy").cast("string")).cast("binary"))
-    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key")
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.col("_id"), F.col("copy").cast("string")).cast("binary"))
+    return copies.select(*(F.col(f"_row.`{c}`").alias(c) for c in carried), "rate", "n_copies", "copy", key.alias("shuffle_key")).orderBy("shuffle_key")
 
 
 def sql(docs: str = "documents", seed: int = SEED) -> str:
