@@ -100,6 +100,25 @@ def test_line_dedup_equals_all_pairs(spark, seed):
     assert kept == {d: t for d, t in want.items() if t.strip() or not any(d == e for e, _ in got)}
 
 
+@pytest.mark.parametrize(("crowd", "sample"), [(1, 1), (12, 1), (2, 2)])
+def test_line_dedup_equals_all_pairs_where_words_are_crowded(spark, monkeypatch, crowd, sample):
+    """Near pairs that share rare and crowded prefix words, at distances up to the threshold."""
+    monkeypatch.setattr(linededup, "CROWD", crowd)
+    monkeypatch.setattr(linededup, "SAMPLE", sample)
+    rng = random.Random(6)
+    common, lines = [f"c{i}" for i in range(30)], []
+    for i in range(60):
+        line = [f"r{i}_{j}" for j in range(2)] + rng.sample(common, rng.randrange(7, 17))
+        for _ in range(3):
+            copy = list(line)
+            for _ in range(rng.randrange(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice([*common, f"u{rng.randrange(10**6)}"])
+            lines.append(" ".join(copy))
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(len(lines) // 4)]
+    assert {(r.d, r.l) for r in linededup.removed_lines(docs(spark, rows)).collect()} == removed(rows)
+
+
 def test_line_dedup_edges(spark):
     out = linededup.report(docs(spark, EDGE)).collect()
     assert len(out) == len(EDGE) and all(r.n_removed == 0 for r in out)
