@@ -8,17 +8,17 @@ The embedding walks over a sequence: step j writes the word under the pointer an
 moves on by a random bit that depends on j and on that word.  Two sequences of small
 edit distance fall into step again, so their embeddings differ in few places.  A hash
 table samples ``SAMPLED`` places of the embedding; windows that agree in all of them
-meet.  Windows are as long as the items, to the next lower of ``SIZES``, and begin at
-every word of every document and of every item.  Where a walk goes from a word on
+meet.  Windows are about half as long as the items at most (``WINDOWS``), so that every
+item has several, and begin at every word of every document and of every item.  Where a walk goes from a word on
 depends on the step alone, so the walks of all windows are moved together, one array
-operation a step.  ``tables_for`` repeats walks and tables until the target recall is
-reached for the largest distance allowed.
+operation a step.  ``tables_for`` adds tables for each window size until the target recall
+is reached at every length of item, for the largest distance allowed, and warns if not.
 
 A pair that meets is verified: first by the number of words it shares at least, then
 by the exact edit distance to the best run of words around (a bit-parallel scan).
 
 Defined results: null and empty texts and items without words match nothing; items
-under ``SIZES[0]`` words are looked for as exact runs by the same walk; texts of any
+under ``LEAST`` words are looked for as exact runs by the same walk; texts of any
 length are scanned whole, in blocks; an item that occurs repeatedly in a document is
 one pair, with its least distance; repeated rows give repeated pairs; empty tables
 give empty results; only ids and texts are read.
@@ -26,6 +26,7 @@ give empty results; only ids and texts are read.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,10 @@ from .scratch import checkpointed
 from .skew import without
 
 DISTANCE, RECALL, SAMPLED, WALKS = 0.2, 0.98, 4, 2
-SIZES = (8, 16, 32)
+#: Words of an item from which edits are allowed; (words of an item, from there on the words of a window).
+LEAST, WINDOWS = 8, ((8, 4), (12, 8), (32, 16), (64, 32))
+#: Edited copies for each length of item when tables are chosen, and tables of a window size at which that gives up.
+TRIALS, MOST = 400, 256
 #: Items of one pass over the documents: what goes with the tasks is bounded by it.
 ITEMS = 5_000
 FILTER_BITS = 18
@@ -98,7 +102,7 @@ def table_keys(words: np.ndarray, plan: list[tuple[int, int, tuple[int, ...]]])
 
 
 def window_size(n: int) -> int:
-    return max((s for s in SIZES if s <= n), default=n)
+    return max((size for least, size in WINDOWS if least <= n), default=n)
 
 
 def sampled_steps(size: int, table: int, sampled: int = SAMPLED) -> tuple[int, ...]:
@@ -108,9 +112,10 @@ def sampled_steps(size: int, table: int, sampled: int = SAMPLED) -> tuple[int, .
     return tuple(sorted(rng.choice(span, size=min(sampled, span), replace=False).tolist()))
 
 
-def plan_for(sizes: list[int], tables: int) -> list[tuple[int, int, tuple[int, ...], int]]:
-    """(walk, table number, steps, window size) for each window size."""
-    return [(i % WALKS, k * tables + i, sampled_steps(size, i), size) for k, size in enumerate(sizes) for i in range(tables)]
+def plan_for(tables: dict[tuple[int, bool], int]) -> list[tuple[int, int, tuple[int, ...], int, bool]]:
+    """(walk, table number, steps, window size, whether for items under ``LEAST``) for each kind of window with its number of tables."""
+    plan = [(i % WALKS, sampled_steps(size, i), size, short) for (size, short), n in tables.items() for i in range(n)]
+    return [(number, t, steps, size, short) for t, (number, steps, size, short) in enumerate(plan)]
 
 
 def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -127,24 +132,47 @@ def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array(out, dtype=np.uint64)
 
 
-def tables_for(items: list[np.ndarray], recall: float = RECALL, distance: float = DISTANCE, most: int = 24) -> int:
-    """Tables per window size with which copies of the items, edited as far as allowed, are met often enough."""
-    rng = np.random.default_rng(7)
-    picked = [w for w in items if len(w) >= SIZES[0]]
-    picked = [picked[i] for i in sorted(rng.choice(len(picked), min(len(picked), 60), replace=False))] if picked else []
-    if not picked:
+def tables_for(items: list[np.ndarray], size: int, recall: float = RECALL, distance: float = DISTANCE, most: int = MOST) -> int:
+    """Tables with which copies of the items that have windows of ``size`` are met often enough, at each length.
+
+    Copies are edited as far as allowed and stand between other words.  All items take
+    part, each as often as their length needs for ``TRIALS`` copies; lengths from twice
+    the shortest that has such windows on, which are easier, count as one.
+    """
+    mine = [w for w in items if len(w) >= LEAST and window_size(len(w)) == size]
+    if not mine:
         return 4
-    copies = [edited(w, int(distance * len(w)), rng) for w in picked]
-    met = np.zeros((len(picked), most), dtype=bool)
-    for i, (a, b) in enumerate(zip(picked, copies, strict=True)):
-        size = window_size(len(a))
-        plan = [(i_ % WALKS, i_, sampled_steps(size, i_)) for i_ in range(most)]
-        ours = {t: set(k[: len(a) - size + 1].tolist()) for t, k in table_keys(a, plan)}
-        for t, k in table_keys(b, plan):
-            met[i, t] = not ours[t].isdisjoint(k.tolist())
-    found = np.logical_or.accumulate(met, axis=1).mean(axis=0)
-    enough = np.flatnonzero(found >= recall)
-    return max(4, int(enough[0]) + 1 if len(enough) else most)
+    rng = np.random.default_rng(7)
+    group = np.array([min(len(w), 2 * min(n for n, s in WINDOWS if s == size)) for w in mine])
+    originals, copies = [], []
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        for i in np.tile(at, -(-TRIALS // len(at))).tolist():
+            originals.append(i)
+            copies.append(edited(mine[i], int(distance * len(mine[i])), rng))
+
+    def joined(texts: list[np.ndarray], numbers: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # Words, places of the windows and the number of each window's text.
+        between = [rng.integers(1 << 62, size=2 * size).astype(np.uint64) for _ in texts]
+        begins = np.cumsum([0, *(len(t) + 2 * size for t in texts[:-1])])
+        counts = np.array([max(0, len(t) - short) for t in texts])
+        places = np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return np.concatenate([x for pair in zip(texts, between, strict=True) for x in pair]), places, np.repeat(numbers, counts).astype(np.uint64)
+
+    words, places, of = joined(mine, np.arange(len(mine)), size - 1)
+    others, spots, copy = joined(copies, np.arange(len(copies)), 0)
+    source = np.array(originals, np.uint64)[copy.astype(np.int64)]
+    kind, met = group[np.array(originals)], np.zeros(len(copies), dtype=bool)
+    of, source = mix(of), mix(source)
+    for t in range(most):
+        plan = [(t % WALKS, t, sampled_steps(size, t))]
+        (_, known), (_, keys) = *table_keys(words, plan), *table_keys(others, plan)
+        met[copy[np.isin(mix(keys[spots] ^ source), mix(known[places] ^ of))].astype(np.int64)] = True
+        least = min(met[kind == g].mean() for g in np.unique(kind))
+        if t >= 3 and least >= recall:
+            return t + 1
+    warnings.warn(f"{most} tables of windows of {size} words meet {least:.3f} of the copies at some length of item, not {recall}", stacklevel=2)
+    return most
 
 
 def build(ids: list[int], texts: list[str | None], recall: float = RECALL, distance: float = DISTANCE) -> Index:
@@ -152,12 +180,12 @@ def build(ids: list[int], texts: list[str | None], recall: float = RECALL, dista
     for _, _, raw, offsets in text_blocks(pa.array(texts, pa.string())):
         w, first = words_of(raw, offsets)
         words += [w[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-    sizes = sorted({window_size(len(w)) for w in words if len(w)})
+    kinds = sorted({(window_size(len(w)), len(w) < LEAST) for w in words if len(w)})
     tables = []
-    for number, table, steps, size in plan_for(sizes, tables_for(words, recall, distance)):
+    for number, table, steps, size, short in plan_for({(size, short): 24 if short else tables_for(words, size, recall, distance) for size, short in kinds}):
         keys, items, starts = [], [], []
         for i, w in enumerate(words):
-            if len(w) and window_size(len(w)) == size:
+            if len(w) and window_size(len(w)) == size and (len(w) < LEAST) == short:
                 (_, k), = table_keys(w, [(number, table, steps)])
                 count = len(w) - size + 1
                 keys.append(k[:count])
@@ -215,7 +243,7 @@ def search(words: np.ndarray, first: np.ndarray, index: Index, filters: list[np.
     for r in rows.tolist():
         d, i, b = int(text[r]), int(item[r]), int(begin[r])
         w = index.words[i]
-        allowed = int(distance * len(w)) if len(w) >= SIZES[0] else 0
+        allowed = int(distance * len(w)) if len(w) >= LEAST else 0
         if out.get((d, i), allowed + 1) == 0:
             continue
         slack = allowed + 5

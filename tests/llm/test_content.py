@@ -84,6 +84,33 @@ def test_recall_against_brute_force(spark, sf_dir):
         assert true and found >= least * true, (share, found, true)
 
 
+def test_recall_holds_at_every_length_of_item():
+    """Copies edited as far as allowed, of items just long enough for a window and of easy ones along with them."""
+    rng = np.random.default_rng(2)
+    lengths = [8, 9, 10, 11, 12, 15, 16, 17, 31, 32, 33, 35, 45, 63, 64, 65, 70, *[59] * 40]
+    items = [" ".join(f"i{i}x{j}" for j in range(n)) for i, n in enumerate(lengths)]
+    index = decontaminate.build(list(range(len(items))), items)
+    filters = []
+    for _, _, keys, _, _ in index.tables:
+        f = np.zeros(1 << decontaminate.FILTER_BITS, bool)
+        f[keys >> np.uint64(64 - decontaminate.FILTER_BITS)] = True
+        filters.append(f)
+    for i, n in enumerate(lengths[:17]):
+        texts = [rng.integers(1 << 62, size=80).astype(np.uint64)]
+        for _ in range(300):
+            texts.append(np.concatenate([decontaminate.edited(index.words[i], n // 5, rng), rng.integers(1 << 62, size=80).astype(np.uint64)]))
+        first = np.cumsum([0, *map(len, texts)])
+        found = {d for d, hit, _ in decontaminate.search(np.concatenate(texts), first, index, filters, 0.2) if hit == i}
+        # 0.98 is the target; 300 copies may miss it by chance.
+        assert len(found) >= 0.96 * 300, (n, len(found))
+
+
+def test_a_recall_out_of_reach_is_reported():
+    items = [np.arange(100 * i, 100 * i + 8).astype(np.uint64) for i in range(20)]
+    with pytest.warns(UserWarning, match="1 tables"):
+        assert decontaminate.tables_for(items, decontaminate.window_size(8), recall=1.1, most=1) == 1
+
+
 def test_decontamination_equals_brute_force_on_documents(spark, sf_dir):
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(d, b).collect()}
