@@ -82,6 +82,20 @@ def test_ids_with_two_texts_are_one_document(spark):
     assert got == [(5, 5), (7, 5), (7, 5), (9, 5)]
 
 
+def test_pipeline_stage_links_five_words_at_four_fifths(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = near_copies(7, 40, 50)
+    sets, group = {d: shingles(t, 5) for d, t in rows}, {d: d for d, _ in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    got = {r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, docs(spark, rows), "").collect()}
+    assert got == set(group.values())
+    assert got < {d for d, c in components(rows).items() if d == c}
+
+
 def removed(rows, percent=80):
     lines = [(d, i, set(w for w in re.split("[ \t\n\x0b\x0c\r]", line.lower()) if w)) for d, t in rows if d is not None for i, line in enumerate((t or "").split("\n"))]
     return {(d, i) for d, i, s in lines if s and any((e, j) < (d, i) and u and 100 * len(s & u) >= percent * len(s | u) for e, j, u in lines)}
