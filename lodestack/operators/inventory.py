@@ -91,19 +91,47 @@ def unique_labels(rows: list[tuple[str, str]], taken: set[str]) -> dict[str, str
 
 
 def labelled(kept: DataFrame) -> DataFrame:
-    """relative_path for each file: only labels that collide come to the driver."""
-    folded = kept.withColumn("_f", F.lower("preferred"))
+    """relative_path for each file, as ``unique_labels`` gives it to the colliding ones, by joins alone.
+
+    All files without a label claim their next choice at once and the first in order
+    gets it; one that comes earlier takes it from one that comes later, which goes on to
+    its next.  This ends with the labels that the files would take one after the other.
+    Paths that differ in case alone need a round for each number.
+    """
+    folded = kept.select("path", "preferred", "source_idx", F.lower("preferred").alias("_f"))
     clash = folded.groupBy("_f").count().where("count > 1").select("_f")
-    rows = folded.join(F.broadcast(clash), "_f").orderBy("source_idx", C.natural_key(F.col("preferred")), "path").select("path", "preferred").collect()
-    if not rows:
+    if not clash.limit(1).count():
         return kept.withColumnRenamed("preferred", "relative_path")
-    ends = {str(PurePath(*PurePath(r["path"]).parts[-w:])).casefold() for r in rows for w in range(2, len(PurePath(r["path"]).parts) + 1)}
-    spark = kept.sparkSession
-    mine = {r["preferred"].casefold() for r in rows}
-    others = folded.join(F.broadcast(spark.createDataFrame([(e,) for e in ends], "_f string")), "_f", "left_semi").select("_f").distinct().collect()
-    labels = unique_labels([(r["path"], r["preferred"]) for r in rows], {r["_f"] for r in others} - mine)
-    table = spark.createDataFrame(list(labels.items()), "path string, _label string")
-    return kept.join(F.broadcast(table), "path", "left").withColumn("relative_path", F.coalesce("_label", "preferred")).drop("_label", "preferred")
+    order = [F.col("source_idx"), C.natural_key(F.col("preferred")), F.col("path")]
+    # Repeated rows of one path take one label, the last one's.
+    rows = ordinals(folded.join(clash, "_f").select("path", "preferred", "source_idx"), order).select("path", "preferred", "ord")
+    parts = F.filter(F.split("path", "/"), lambda x: (x != "") & (x != "."))
+    depth = F.size("parts")
+    rooted = F.startswith("path", F.lit("/"))
+    joined = lambda n: F.array_join(F.slice("parts", depth - n + 1, n), "/")
+    whole = F.when(rooted, F.concat(F.lit("/"), joined(depth))).otherwise(joined(depth))
+    # Choices: 0 is the preferred label, then ends of two parts and more, then numbers from 2 on.
+    last = F.when(rooted, depth).otherwise(F.greatest(depth - 1, F.lit(0)))
+    end = F.when(F.col("choice") == 0, F.col("preferred")).when(F.col("choice") == last, whole).otherwise(joined(F.col("choice") + 1))
+    numbered = F.concat(F.when(last == 0, F.col("preferred")).otherwise(whole), F.lit(" ("), (F.col("choice") - last + 1).cast("string"), F.lit(")"))
+    label = F.when(F.col("choice") <= last, end).otherwise(numbered)
+    settled = folded.join(clash, "_f", "left_anti").select("_f")
+    now, before = rows.select("path", "preferred", "ord", parts.alias("parts"), F.lit(0).alias("choice")), None
+    while True:
+        claims = now.withColumn("label", label).withColumn("_f", F.lower("label"))
+        best = claims.groupBy("_f").agg(F.min("ord").alias("_first"))
+        fixed = settled.withColumn("_fixed", F.lit(True))
+        judged = claims.join(best, "_f").join(fixed, "_f", "left").withColumn("lost", F.col("_fixed").isNotNull() | (F.col("ord") > F.col("_first")))
+        judged = judged.select("path", "preferred", "ord", "parts", "choice", "label", "lost").persist()
+        lost = judged.where("lost").count()
+        if before is not None:
+            before.unpersist()
+        if not lost:
+            break
+        before = judged
+        now = judged.withColumn("choice", F.col("choice") + F.col("lost").cast("int")).drop("label", "lost")
+    table = judged.groupBy("path").agg(F.max_by("label", "ord").alias("_label"))
+    return kept.join(table, "path", "left").withColumn("relative_path", F.coalesce("_label", "preferred")).drop("_label", "preferred")
 
 
 def collect_inputs(spark: SparkSession, selection, recursive=True, exclude=(), extensions=EXTENSIONS, sort="name", max_depth=MAX_DEPTH) -> tuple[DataFrame, DataFrame]:

@@ -273,9 +273,9 @@ def multi_source_union(spark, sf):
 
 @query()
 def unique_labels(spark, sf):
-    """Labels of pages that have the same file name, made different by their folders."""
+    """Labels of all pages, which have the same file name, made different by their folders."""
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    p = read(spark, sf, "pages").select(F.lit(0).alias("source_idx"), F.concat(F.lit("/"), host, F.lit("/"), F.col("page_id").cast("string"), F.lit("/page.html")).alias("path"), F.when(F.col("page_id") < 20, F.lit("page.html")).otherwise(F.concat(host, F.lit("/"), F.col("page_id").cast("string"))).alias("preferred"))
+    p = read(spark, sf, "pages").select(F.lit(0).alias("source_idx"), F.concat(F.lit("/"), host, F.lit("/"), F.col("page_id").cast("string"), F.lit("/page.html")).alias("path"), F.lit("page.html").alias("preferred"))
     return inventory.labelled(p).select("path", "relative_path")
 
 

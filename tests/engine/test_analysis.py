@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack import cli, config
+from lodestack.functions import columns as C
 from lodestack.operators import assembly, inventory
 from lodestack.plans import analysis, catalogue
 from lodestack.selection import InputSelection
@@ -75,6 +76,19 @@ def test_labels_take_longer_ends_then_numbers():
     assert inventory.unique_labels([("f", "f"), ("f2", "f"), ("f3", "f")], {"f2"}) == {"f": "f", "f2": "f (2)", "f3": "f (3)"}
 
 
+def test_labels_come_from_joins_alone(spark, sf_dir, monkeypatch):
+    rows = [(0, f"/{a}/{b}/{c}", "y/f" if a + b == "Yx" else "f") for a in "xY" for b in "xyX" for c in ("f", "F", "g")]
+    rows += [(1, "/q/f", "f"), (1, "/r/y/f", "y/f"), (1, "/s/y/f", "Y/F"), (2, "/only", "x/g"), (0, "h", "h"), (0, "h2", "h"), (0, "h3", "H")]
+    ranked = inventory.ordinals(spark.createDataFrame(rows, "source_idx int, path string, preferred string"), [F.col("source_idx"), C.natural_key(F.col("preferred")), F.col("path")])
+    lower = [p.lower() for _, _, p in rows]
+    ordered = [(r.path, r.preferred) for r in ranked.orderBy("ord").collect() if lower.count(r.preferred.lower()) > 1]
+    want = {path: p for _, path, p in rows} | inventory.unique_labels(ordered, {p for p in lower if lower.count(p) == 1})
+    monkeypatch.setattr(inventory, "unique_labels", None)
+    assert {r.path: r.relative_path for r in inventory.labelled(spark.createDataFrame(rows, "source_idx int, path string, preferred string")).collect()} == want
+    pages = [r.relative_path for r in catalogue.queries()["unique_labels"](spark, sf_dir).collect()]
+    assert len(set(pages)) == len(pages) and all(p.endswith("page.html") for p in pages)
+
+
 def test_selection():
     s = InputSelection.of(["a", "b", "./a"])
     assert [p.name for p in s.paths] == ["a", "b"] and s.primary_path == Path("a")
