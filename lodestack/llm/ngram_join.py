@@ -168,11 +168,12 @@ def similar_documents(df: DataFrame, k: int = 3, percent: int = 90, text: str =
         classes = whole.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         # Saved first, so that the join's both sides are plain exchanges, of which Spark splits the large ones.
         classes = scratch.save(classes, "classes")
-        members = whole.drop("keys").join(few(classes), ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("first"))
+        members = whole.drop("keys").join(few(classes), ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", "h1", "h2", F.coalesce("least", "doc_id").alias("first"))
         members = scratch.save(members, "members")
 
-        copies = members.where("doc_id <> first").select("doc_id").distinct()
-        index = whole.select("doc_id", "keys").join(few(copies), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
+        # An id may have another text besides a copy.
+        copies = members.where("doc_id <> first").select("doc_id", "h1", "h2").distinct()
+        index = whole.select("doc_id", "h1", "h2", "keys").join(few(copies), ["doc_id", "h1", "h2"], "left_anti").select("doc_id", F.explode("keys").alias("key"))
         shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         # Only rows whose key has company; all that follows is over these.
         met = scratch.save(index.join(shared, "key").select("key", "doc_id").distinct(), "met")

@@ -82,6 +82,13 @@ def test_ids_with_two_texts_are_one_document(spark):
     assert got == [(5, 5), (7, 5), (7, 5), (9, 5)]
 
 
+def test_a_copy_leaves_the_other_text_of_its_id_in_the_index(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (7, a), (7, b), (9, f"{b} more")]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.similar_documents(docs(spark, rows)).collect())
+    assert got == [(5, 5), (7, 5), (7, 5), (9, 5)]
+
+
 def test_pipeline_stage_links_five_words_at_four_fifths(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = near_copies(7, 40, 50)
