@@ -3,7 +3,7 @@
 Everything an operator must keep between jobs goes to the folder that the
 session names in ``spark.checkpoint.dir``: it is visible to all executors, so a
 lost executor costs a re-read and not the data.  Only where that setting is
-absent (tests, a laptop) a folder of our own is made.
+absent and Spark runs in one process (tests, a laptop) a folder of our own is made.
 """
 
 from __future__ import annotations
@@ -13,12 +13,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes a query's shuffle files as soon as the query has ended, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by the driver and all executors."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        master = sc.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="lodestack-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
@@ -44,7 +50,14 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        if before is not None:
+            self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is not None:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from lodestack.llm import linededup, ngram_join
+from lodestack.llm.scratch import Scratch
 from lodestack.llm.tables import table
 
 from .helpers import EDGE, docs
@@ -121,11 +122,13 @@ def test_line_dedup_equals_all_pairs(spark, seed):
     assert kept == {d: t for d, t in want.items() if t.strip() or not any(d == e for e, _ in got)}
 
 
-@pytest.mark.parametrize(("crowd", "sample"), [(1, 1), (12, 1), (2, 2)])
-def test_line_dedup_equals_all_pairs_where_words_are_crowded(spark, monkeypatch, crowd, sample):
+@pytest.mark.parametrize(("star", "crowd"), [(1, 1), (1, 12), (2, 4), (1000, 3)])
+def test_line_dedup_equals_all_pairs_where_words_are_crowded(spark, monkeypatch, star, crowd):
     """Near pairs that share rare and crowded prefix words, at distances up to the threshold."""
+    monkeypatch.setattr(linededup, "STAR", min(star, crowd))
     monkeypatch.setattr(linededup, "CROWD", crowd)
-    monkeypatch.setattr(linededup, "SAMPLE", sample)
+    monkeypatch.setattr(linededup, "SAMPLE", 1)
+    monkeypatch.setattr(linededup, "WIDE", 12)
     rng = random.Random(6)
     common, lines = [f"c{i}" for i in range(30)], []
     for i in range(60):
@@ -135,11 +138,26 @@ def test_line_dedup_equals_all_pairs_where_words_are_crowded(spark, monkeypatch,
             for _ in range(rng.randrange(0, 3)):
                 copy[rng.randrange(len(copy))] = rng.choice([*common, f"u{rng.randrange(10**6)}"])
             lines.append(" ".join(copy))
+    lines += [" ".join(rng.sample(common, rng.randrange(14, 24))) for _ in range(60)]
     rng.shuffle(lines)
     rows = [(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(len(lines) // 4)]
     assert {(r.d, r.l) for r in linededup.removed_lines(docs(spark, rows)).collect()} == removed(rows)
 
 
+def test_line_dedup_keeps_documents_of_one_id_apart(spark):
+    a, b = "one two three four\nfive six seven eight", "nine ten eleven twelve\nthirteen fourteen"
+    rows = [(3, "one two three four"), (7, a), (7, b), (7, b)]
+    kept = sorted((r.doc_id, r.text) for r in linededup.deduplicated(docs(spark, rows)).collect())
+    assert kept == sorted([(3, "one two three four"), (7, "five six seven eight"), (7, b), (7, b)])
+
+
+def test_line_dedup_carries_columns_with_dots(spark):
+    frame = spark.createDataFrame([(1, "a b c d\ne f", 5, "x"), (2, "A b c d", 6, "y")], "doc_id long, text string, `a.b` int, d string")
+    out = linededup.deduplicated(frame)
+    assert out.columns == frame.columns
+    assert [tuple(r) for r in out.collect()] == [(1, "a b c d\ne f", 5, "x")]
+
+
 def test_line_dedup_edges(spark):
     out = linededup.report(docs(spark, EDGE)).collect()
     assert len(out) == len(EDGE) and all(r.n_removed == 0 for r in out)
@@ -148,6 +166,16 @@ def test_line_dedup_edges(spark):
     assert linededup.deduplicated(docs(spark, EDGE)).count() == len(EDGE)
 
 
-def test_line_dedup_runs_no_python(spark, sf_dir):
-    plan = linededup.report(table(spark, sf_dir, "documents"))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+def test_line_dedup_runs_no_python(spark, sf_dir, monkeypatch):
+    plans = []
+    save = Scratch.save
+
+    def seen(self, df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    plans.append(linededup.report(table(spark, sf_dir, "documents"))._jdf.queryExecution().toString())
+    assert len(plans) > 8
+    for plan in plans:
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
