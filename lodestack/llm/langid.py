@@ -34,11 +34,14 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .bytescan import text_blocks
+from .sampling import sampled
 from .scratch import Scratch, checkpointed
 from .skew import few
 
 BUCKETS = 1 << 16
 TRAINING = 20_000
+#: Bytes of a long text that are looked at together.
+PIECE = 1 << 19
 #: Trigrams overlap and words repeat: at most so many count as independent, a third of those seen below that.
 EFFECTIVE = 120.0
 DECLARED, SUFFIX, SMOOTH, ACCEPT = 0.9, 0.7, 10.0, 0.5
@@ -77,24 +80,34 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return bucket, counts
 
 
+def pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes and offsets as they are, or, of one long text, parts that share two bytes: each trigram is in one of them."""
+    if len(offsets) != 2 or len(raw) <= PIECE + 2:
+        yield raw, offsets
+        return
+    for at in range(0, len(raw) - 2, PIECE):
+        part = raw[at : at + PIECE + 2]
+        yield part, np.array([0, len(part)])
+
+
 def train(docs: DataFrame, most: int = TRAINING) -> Model:
     """``docs``: text, lang and an id to pick by."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    share = min(1.0, most / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < round(share * 1_000_000)).select("lang", "text")
+    picked = sampled(known, F.xxhash64("doc_id", F.lit(5)), most).select("lang", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for start, end, raw, offsets in text_blocks(batch.column(1)):
-                bucket, counts = trigrams(raw, offsets)
                 langs = batch.column(0)[start:end].to_pylist()
-                owner = np.repeat(np.arange(end - start), np.diff(offsets))
                 names = sorted(set(langs))
                 number = np.array([names.index(x) for x in langs])
-                for i, name in enumerate(names):
-                    mine = bucket[counts & (number[owner] == i)]
-                    sums[name] = sums.get(name, 0) + np.bincount(mine, minlength=BUCKETS)
+                for piece, cuts in pieces(raw, offsets):
+                    bucket, counts = trigrams(piece, cuts)
+                    owner = np.repeat(np.arange(end - start), np.diff(cuts))
+                    for i, name in enumerate(names):
+                        mine = bucket[counts & (number[owner] == i)]
+                        sums[name] = sums.get(name, 0) + np.bincount(mine, minlength=BUCKETS)
         for name, total in sums.items():
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["lang", "bucket", "n"])
@@ -118,13 +131,14 @@ def likelihoods(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, raw, offsets in text_blocks(batch.column(len(others))):
-                bucket, counts = trigrams(raw, offsets)
-                total = lambda v: np.diff(np.concatenate([[0.0], np.cumsum(v, dtype=np.float64)])[offsets])  # noqa: B023, E731
-                seen = total(counts)
-                scale = np.minimum(seen / 3, EFFECTIVE) / np.maximum(seen, 1)
-                ll = np.zeros((end - start, width))
-                for i, column in enumerate(columns):
-                    ll[:, i] = total(np.where(counts, column[bucket], 0)) * scale
+                seen, ll = np.zeros(end - start), np.zeros((end - start, width))
+                for piece, cuts in pieces(raw, offsets):
+                    bucket, counts = trigrams(piece, cuts)
+                    total = lambda v: np.diff(np.concatenate([[0.0], np.cumsum(v, dtype=np.float64)])[cuts])  # noqa: B023, E731
+                    seen += total(counts)
+                    for i, column in enumerate(columns):
+                        ll[:, i] += total(np.where(counts, column[bucket], 0))
+                ll *= (np.minimum(seen / 3, EFFECTIVE) / np.maximum(seen, 1))[:, None]
                 ll = np.round(ll - ll.max(axis=1, keepdims=True), 9)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (end - start + 1) * width, width), pa.int32()), pa.array(ll.ravel()))
                 own = np.exp(ll)

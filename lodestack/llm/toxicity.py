@@ -10,7 +10,8 @@ The risk is the class-prior-corrected estimate
 with the logistic loss, so that the sigmoid of the output is a probability under
 that prior.  ``POSITIVES`` and ``UNLABELLED`` bound the samples (they are the
 documented bound of the training rows); class prior and scores cover all rows,
-whole texts.
+whole texts.  The samples' features are counted by bucket on the executors first; only
+those of which the positives have clearly more go to the driver.
 
 Defined results: null and empty texts get the score of the bias alone; a text
 of any length is scored by the set of its words; repeated rows get equal scores
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .bytescan import ALPHANUMERIC, mix, text_blocks, word_bounds, word_hashes
+from .sampling import sampled
+from .scratch import Scratch
 
 BUCKETS = 1 << 18
 PREFIX = 5
@@ -65,72 +68,78 @@ def _features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([owner, owner[long]]), np.concatenate([words, begun]).astype(np.int64)
 
 
-def _sample(df: DataFrame, most: int, seed: int) -> DataFrame:
-    """About ``most`` ids at most, picked by their hash."""
-    count = df.count()
-    share = min(1.0, most / max(1, count))
-    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < round(share * 1_000_000))
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """Distinct buckets of each sampled document, which of them are confirmed toxic, and the class prior."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    open_ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out())
-    picked = (
-        _sample(known.where("toxic = 1").select("doc_id"), positives, 1).withColumn("role", F.lit(1))
-        .unionByName(_sample(open_ids, unlabelled, 2).distinct().withColumn("role", F.lit(0)))
-    )
-    # Broadcast: at most about positives + unlabelled ids.
-    rows = docs.join(F.broadcast(picked), "doc_id").select("role", "text")
+def _buckets(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """role, buckets (distinct; of those wanted) of rows of role and text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, raw, offsets in text_blocks(batch.column(1)):
                 owner, bucket = _features(raw, offsets)
+                if wanted is not None:
+                    kept = wanted[bucket]
+                    owner, bucket = owner[kept], bucket[kept]
                 pairs = np.unique(owner * BUCKETS + bucket)
                 cuts = np.searchsorted(pairs, np.arange(end - start + 1) * BUCKETS)
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((pairs % BUCKETS).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[start:end], lists], names=["role", "buckets"])
 
     ship(rows.sparkSession)
-    table = rows.mapInArrow(work, "role int, buckets array<int>").toArrow()
-    role = table["role"].to_numpy()
-    lists = [x for chunk in table["buckets"].chunks for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1]) if len(chunk)]
-    return lists, role == 1, float(prior)
+    return rows.mapInArrow(work, "role int, buckets array<int>")
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Full-batch Adam on the non-negative risk."""
+def training_texts(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
+    """role (1: confirmed toxic, 0: unlabelled) and text of the sampled documents, and the class prior."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    prior = known.agg(F.avg("toxic")).first()[0] or 0.0
+    open_ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out())
+    by = lambda seed: F.xxhash64("doc_id", F.lit(seed))
+    picked = (
+        sampled(known.where("toxic = 1").select("doc_id"), by(1), positives).withColumn("role", F.lit(1))
+        .unionByName(sampled(open_ids, by(2), unlabelled).distinct().withColumn("role", F.lit(0)))
+    )
+    # Broadcast: at most about positives + unlabelled ids.
+    return docs.join(F.broadcast(picked), "doc_id").select("role", "text"), float(prior)
+
+
+def evidence(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which buckets are used, from the number of positives and of unlabelled with each; and their log ratios."""
+    expected = n_p * (in_u + 1) / (n_u + 2)
+    ratio = np.log((in_p + 0.5) / (n_p + 1)) - np.log((in_u + 0.5) / (n_u + 1))
+    return (in_p - expected >= EVIDENCE * np.sqrt(expected)) & (in_p >= 3), ratio
+
+
+def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of the outputs ``z``, and the slope that descent follows.
+
+    Where the negative part would fall under zero, its own slope is turned round.
+    """
+    weight_p, weight_u = positive / max(1, positive.sum()), ~positive / max(1, (~positive).sum())
+    p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    loss_minus = np.logaddexp(0, z)
+    rest = (weight_u * loss_minus).sum() - prior * (weight_p * loss_minus).sum()
+    minus = weight_u * p - prior * weight_p * p
+    value = prior * (weight_p * np.logaddexp(0, -z)).sum() + max(0.0, rest)
+    return float(value), prior * weight_p * (p - 1) + minus if rest >= 0 else -minus
+
+
+def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, used: np.ndarray, ratio: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+    """Full-batch Adam on the non-negative risk; ``rows`` hold the used buckets of each document."""
     weights = np.zeros(BUCKETS, dtype=np.float32)
-    n_p, n_u = int(positive.sum()), int((~positive).sum())
-    if not n_p or not n_u or prior <= 0:
+    if not positive.any() or positive.all() or prior <= 0:
         return Model(weights, -30.0, prior)
     prior = min(prior, 0.99)
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    in_p = np.bincount(flat[positive[owner]], minlength=BUCKETS)
-    in_u = np.bincount(flat[~positive[owner]], minlength=BUCKETS)
-    expected = n_p * (in_u + 1) / (n_u + 2)
-    ratio = np.log((in_p + 0.5) / (n_p + 1)) - np.log((in_u + 0.5) / (n_u + 1))
-    used = (in_p - expected >= EVIDENCE * np.sqrt(expected)) & (in_p >= 3)
     column = np.full(BUCKETS, -1)
     column[used] = np.arange(used.sum())
-    keep = used[flat]
-    row, col = owner[keep], column[flat[keep]]
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    col = column[np.concatenate(rows)]
     value = ratio[used][col]  # naive-Bayes scaling: rarer evidence needs smaller steps
-    w, bias = np.zeros(int(used.sum()) + 1), np.log(prior / (1 - prior))
-    w[-1] = bias
+    w = np.zeros(int(used.sum()) + 1)
+    w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    weight_p, weight_u = positive / n_p, ~positive / n_u
     for step in range(1, steps + 1):
         z = np.bincount(row, weights=value * w[col], minlength=len(rows)) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        loss_minus = np.logaddexp(0, z)
-        rest = (weight_u * loss_minus).sum() - prior * (weight_p * loss_minus).sum()
-        minus = weight_u * p - prior * weight_p * p
-        slope = prior * weight_p * (p - 1) + minus if rest >= 0 else -minus
+        _, slope = risk(z, positive, prior)
         g = np.append(np.bincount(col, weights=value * slope[row], minlength=len(w) - 1), slope.sum())
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -141,7 +150,18 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int =
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return fit(*training_rows(docs, labels, positives, unlabelled))
+    texts, prior = training_texts(docs, labels, positives, unlabelled)
+    with Scratch(docs.sparkSession) as scratch:
+        # In a stable order: sums of floats depend on it.
+        texts = scratch.save(texts, "texts")
+        sizes = {r["role"]: r["n"] for r in texts.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = _buckets(texts).select("role", F.explode("buckets").alias("b")).groupBy("role", "b").agg(F.count(F.lit(1)).alias("n")).toArrow()
+        role, bucket, n = (counts[c].to_numpy() for c in ("role", "b", "n"))
+        have = [np.bincount(bucket[role == r], weights=n[role == r], minlength=BUCKETS) for r in (1, 0)]
+        used, ratio = evidence(*have, sizes.get(1, 0), sizes.get(0, 0))
+        table = _buckets(texts, used).orderBy("role", "buckets").toArrow()
+    lists = [x for chunk in table["buckets"].chunks for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1]) if len(chunk)]
+    return fit(lists or [np.zeros(0, np.int32)], table["role"].to_numpy() == 1, prior, used, ratio)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
