@@ -13,8 +13,9 @@ which has the same distribution and keeps exp(-mean) within a double.
 Defined results: a null source is the source ""; a null id counts as "" in the
 hash; rows with equal ids get equal counts, each row its own copies; null and
 empty texts are replicated like any other; a source without a weight gets none of
-the output; an empty table gives an empty table; extra columns are carried along,
-but the operator's own (copy, n_copies, rate, shuffle_key) replace columns of that name.
+the output; an empty table gives an empty table; extra columns are carried along.
+The operator's own columns are copy, n_copies, rate and shuffle_key; where the input
+has a column of that name, in whatever case, the operator's gets underscores in front.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ SEED = 17
 PART = 256.0
 #: Sources up to which their table of rates is broadcast.
 FEW = 4096
-OWN = ("copy", "n_copies", "rate", "shuffle_key")
+OWN = ("rate", "n_copies", "copy", "shuffle_key")
+#: Copies of a document that one task makes; more are made by several.
+BLOCK = 1024
 
 
 def uniform(*parts: Column) -> Column:
@@ -60,21 +63,41 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
     return out.withColumn("_cdf", F.aggregate(F.sequence(F.lit(1), last), zero, more, lambda s: s["c"]))
 
 
+def own_names(columns: list[str]) -> dict[str, str]:
+    """The name of each of the operator's columns beside ``columns``."""
+    taken, out = {c.lower() for c in columns}, {}
+    for name in OWN:
+        free = name
+        while free.lower() in taken:
+            free = f"_{free}"
+        out[name] = free
+    return out
+
+
 def replicate(df: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, source: str = "source", id: str = "doc_id") -> DataFrame:
     """``df``'s columns with rate, n_copies and copy (from 0), in the order of shuffle_key."""
-    carried = [c for c in df.columns if c not in OWN]
-    docs = df.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("_row"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), F.coalesce(F.col(id).cast("string"), F.lit("")).alias("_id"))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    docs = df.select(row, F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_source"), F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")).alias("_id"))
     table = rates(docs.select("_source"), weights)
     if table.select("_source").limit(FEW + 1).count() <= FEW:
         docs = docs.join(F.broadcast(table), "_source")
     else:
         docs = salted_join(docs, table, ["_source"], F.col("_id"), "inner")
+    highest = table.agg(F.max("rate")).first()[0] or 0.0
     drawn = lambda part: F.size(F.filter(F.col("_cdf"), lambda c: c <= uniform(F.lit(str(seed)), F.col("_id"), part.cast("string"))))
     count = F.when(F.col("_parts") == 1, drawn(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda total, part: total + drawn(part)))
-    docs = docs.withColumn("n_copies", count).where("n_copies > 0")
-    copies = docs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    docs = docs.select("_row", "_id", "rate", count.alias("n_copies")).where("n_copies > 0")
+    last = F.col("n_copies") - 1
+    copies = docs.where(last < BLOCK).withColumn("copy", F.explode(F.sequence(F.lit(0), last)))
+    # A count over twice the highest rate and BLOCK is out of the distribution's reach.
+    if highest > BLOCK / 2 - 64:
+        blocks = docs.where(last >= BLOCK).withColumn("_block", F.explode(F.sequence(F.lit(0), last, F.lit(BLOCK)))).repartition("_id", "_block")
+        many = blocks.withColumn("copy", F.explode(F.sequence("_block", F.least(F.col("_block") + BLOCK - 1, last)))).drop("_block")
+        copies = copies.unionByName(many)
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.col("_id"), F.col("copy").cast("string")).cast("binary"))
-    return copies.select(*(F.col(f"_row.`{c}`").alias(c) for c in carried), "rate", "n_copies", "copy", key.alias("shuffle_key")).orderBy("shuffle_key")
+    names = own_names(df.columns)
+    own = [F.col(c).alias(names[c]) for c in ("rate", "n_copies", "copy")]
+    return copies.select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns), *own, key.alias(names["shuffle_key"])).orderBy(f"`{names['shuffle_key']}`")
 
 
 def sql(docs: str = "documents", seed: int = SEED) -> str:
