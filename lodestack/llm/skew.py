@@ -28,6 +28,19 @@ def few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Bytes up to which a table is broadcast.
+LIGHT_BYTES = 8 << 20
+
+
+def light(df: DataFrame, most: int = LIGHT_BYTES) -> DataFrame:
+    """``df``, of strings and numbers, marked for broadcast if its values have ``most`` bytes at most (16 for each number and row)."""
+    sizes = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) if t == "string" else F.lit(16) for c, t in df.dtypes]
+    if df.limit(most // 16 + 1).count() > most // 16:
+        return df
+    total = df.agg(F.sum(sum(sizes, F.lit(16).cast("long"))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def without(df: DataFrame, ids: DataFrame, id: str) -> DataFrame:
     """``df``, whatever its columns are called, without the rows whose ``id`` is in ``ids`` (one column); null ids stay."""
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(id).cast("long").alias("_id"))

@@ -1,20 +1,22 @@
 """Operator 9, URL filters: fixed rules, and a path-template tree per host.
 
-The method: digits in path segments are generalised first.  Each segment is a
-node of its host's tree, named by the shapes above it.  A node becomes a wildcard
-if its parent has more than ``CHILDREN`` different children, or if its labelled
-share of good pages does not differ from that of its siblings (two-proportion
-test at ``Z``): such branches are merged.  The nodes of a path make its template;
-templates are rejected if their labelled purity, smoothed toward the host's, which
-is smoothed toward the corpus's, is under ``PURITY``.  All of it is grouped sums;
-no group is gathered.
+The method: digits in path segments are generalised first.  The tree of a host is then
+named level by level, from the first segment of its paths to the last of the longest.
+At each level the branches under one named node are compared by their labelled share of
+good pages, each with its siblings together (two-proportion test at ``Z``, given
+``LEAST`` labelled pages on both sides).  A branch that differs keeps its name; all that
+do not are merged into one wildcard, and their pages are pooled for the next level.  The
+names along a path make its template; templates are rejected if their labelled purity,
+smoothed toward the host's, which is smoothed toward the corpus's, is under ``PURITY``.
+All of it is grouped sums; no group is gathered.
 
 Only built-in functions are used.  Defined results: host and path are empty for a
 null url or one without ``://``; such pages share the template of the empty host;
 without labels every purity is the corpus's prior of one half smoothed, so that
 nothing is learned against a page and the verdict is "allow"; conflicting labels
-count as bad; repeated rows give repeated rows; an empty table gives an empty one;
-other columns than id and url are not read; segments after ``DEPTH`` count as one.
+count as bad; a share that ties with its siblings' is alike; repeated rows give repeated
+rows; an empty table gives an empty one; other columns than id and url are not read;
+paths and urls of any length and depth are taken whole.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, checkpointed
-from .skew import salted_join
+from .skew import light
 
 # Verdict, host, path.
 RULES = (
@@ -33,7 +35,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DEPTH, CHILDREN, Z, SMOOTH, PURITY = 4, 50, 1.96, 10.0, 0.5
+Z, LEAST, SMOOTH, PURITY = 1.96, 5, 10.0, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -55,49 +57,64 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _shape(path: Column, depth: int) -> Column:
-    """The path with digits generalised, in ``depth`` segments at most."""
-    parts = F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/")
-    return F.when(F.size(parts) > depth + 1, F.concat(F.slice(parts, 1, depth + 1), F.array(F.lit("**")))).otherwise(parts)
-
-
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = DEPTH, children: int = CHILDREN, z: float = Z, smooth: float = SMOOTH, purity: float = PURITY) -> DataFrame:
+def _shape(path: Column) -> Column:
+    """The path with digits generalised; a star of its own is written as its code."""
+    return F.regexp_replace(F.replace(path, F.lit("*"), F.lit("%2A")), "[0-9]+", "{n}")
+
+
+def templates(leaves: DataFrame, scratch: Scratch, z: float = Z, least: int = LEAST) -> DataFrame:
+    """host, shape, labelled, good, template, from a row for each host and shape."""
+    parts = F.split("shape", "/")
+    # Paths begin with a slash, so that the first part is empty.
+    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    now = scratch.save(leaves.select("host", "shape", "labelled", "good", F.lit("").alias("template"), rest.alias("rest")), "level-0")
+    done = [now.where("size(rest) = 0").drop("rest")]
+    level = 0
+    while (left := now.where("size(rest) > 0")).limit(1).count():
+        level += 1
+        left = left.withColumn("segment", F.col("rest")[0])
+        node = ["host", "template"]
+        own = left.groupBy(*node, "segment").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g"))
+        own = scratch.save(own, f"own-{level}")
+        parents = own.groupBy(*node).agg(F.count(F.lit(1)).alias("branches"), F.sum("n").alias("all_n"), F.sum("g").alias("all_g"))
+        own = own.join(parents, node)
+        others, share = F.col("all_n") - F.col("n"), F.try_divide("all_g", "all_n")
+        error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.lit(1.0), others)))
+        apart = F.abs(F.try_divide("g", "n") - F.try_divide(F.col("all_g") - F.col("g"), others))
+        differs = (F.col("n") >= least) & (others >= least) & (apart > z * error)
+        wild = (F.col("segment") != "") & (F.col("branches") > 1) & ~F.coalesce(differs, F.lit(False))
+        own = scratch.save(own.select(*node, "segment", F.when(wild, "*").otherwise(F.col("segment")).alias("name")), f"names-{level}")
+        named = left.join(light(own), [*node, "segment"])
+        named = named.select("host", "shape", "labelled", "good", F.concat_ws("/", "template", "name").alias("template"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest"))
+        now = scratch.save(named, f"level-{level}")
+        done.append(now.where("size(rest) = 0").drop("rest"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z, least: int = LEAST, smooth: float = SMOOTH, purity: float = PURITY) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity.
 
     ``labels`` (doc_id, quality) says which pages, by their id, are good.
     """
-    base = pages.select(F.col("page_id"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
+    url = F.col("url").cast("string")
+    base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     said = labels.select(F.col("doc_id").alias("page_id"), F.col("quality").cast("int").alias("good")).where("page_id IS NOT NULL AND good IS NOT NULL")
     said = said.groupBy("page_id").agg(F.min("good").alias("good"))
-    shaped = base.withColumn("shape", F.array_join(_shape(F.col("path"), depth), "/"))
+    shaped = base.withColumn("shape", _shape(F.col("path")))
     with Scratch(pages.sparkSession) as scratch:
-        leaves = scratch.save(
-            shaped.join(said, "page_id", "left").groupBy("host", "shape").agg(F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")), "leaves"
-        )
-        parts = F.split("shape", "/")
-        nodes = leaves.select("host", "shape", "labelled", "good", F.posexplode(parts).alias("level", "segment"))
-        nodes = nodes.withColumn("above", F.concat_ws("/", F.slice(F.split("shape", "/"), F.lit(1), F.col("level"))))
-        own = nodes.groupBy("host", "level", "above", "segment").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g"))
-        parents = own.groupBy("host", "level", "above").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("all_n"), F.sum("g").alias("all_g"))
-        own = salted_join(own, parents, ["host", "level", "above"], F.col("segment"), "inner")
-        rest_n, share = F.col("all_n") - F.col("n"), F.try_divide("all_g", "all_n")
-        error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.lit(1.0), rest_n)))
-        apart = F.abs(F.try_divide("g", "n") - F.try_divide(F.col("all_g") - F.col("g"), rest_n))
-        alike = F.when((F.col("n") == 0) | (rest_n == 0) | (error == 0), True).otherwise(apart < z * error)
-        wild = (F.col("segment") != "") & ((F.col("different") > children) | ((F.col("different") > 1) & alike))
-        own = own.select("host", "level", "above", "segment", F.when(wild, "*").otherwise(F.col("segment")).alias("named"))
-        named = salted_join(nodes, own, ["host", "level", "above", "segment"], F.col("shape"), "inner")
-        templates = named.groupBy("host", "shape").agg(
-            F.max("labelled").alias("labelled"), F.max("good").alias("good"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "named"))), lambda x: x["named"]), "/").alias("template")
-        )  # at most depth + 2 nodes a shape
-        templates = scratch.save(templates, "templates")
-        corpus = templates.agg(((F.coalesce(F.sum("good"), F.lit(0)) + smooth / 2) / (F.coalesce(F.sum("labelled"), F.lit(0)) + smooth)).alias("p0"))
-        hosts = templates.groupBy("host").agg(F.sum("labelled").alias("hn"), F.sum("good").alias("hg")).join(F.broadcast(corpus))  # one row
-        hosts = hosts.select("host", ((F.col("hg") + smooth * F.col("p0")) / (F.col("hn") + smooth)).alias("p1"))
-        pure = salted_join(templates.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g")), hosts, ["host"], F.col("template"), "inner")
-        pure = pure.select("host", "template", ((F.col("g") + smooth * F.col("p1")) / (F.col("n") + smooth)).alias("purity"))
-        decided = checkpointed(salted_join(templates.select("host", "shape", "template"), pure, ["host", "template"], F.col("shape"), "inner").select("host", "shape", "template", "purity"))
-    out = salted_join(shaped, decided, ["host", "shape"], F.col("page_id"), "left")
+        leaves = shaped.join(said, "page_id", "left").groupBy("host", "shape")
+        leaves = leaves.agg(F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+        found = scratch.save(templates(leaves, scratch, z, least), "templates")
+        corpus = found.agg(((F.coalesce(F.sum("good"), F.lit(0)) + smooth / 2) / (F.coalesce(F.sum("labelled"), F.lit(0)) + smooth)).alias("p0"))
+        hosts = found.groupBy("host").agg(F.sum("labelled").alias("hn"), F.sum("good").alias("hg")).join(F.broadcast(corpus))  # one row
+        hosts = scratch.save(hosts.select("host", ((F.col("hg") + smooth * F.col("p0")) / (F.col("hn") + smooth)).alias("p1")), "hosts")
+        pure = found.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("good").alias("g")).join(light(hosts), "host")
+        pure = scratch.save(pure.select("host", "template", ((F.col("g") + smooth * F.col("p1")) / (F.col("n") + smooth)).alias("purity")), "purities")
+        decided = checkpointed(found.join(light(pure), ["host", "template"]).select("host", "shape", "template", "purity"))
+    out = shaped.join(light(decided), ["host", "shape"], "left")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(verdict, F.when(F.col("purity") < purity, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
