@@ -2,8 +2,8 @@
 
 No Python string is made: a batch column is one byte buffer plus offsets, word
 bounds come from table look-ups on the bytes, and the hash of every word comes
-from one running polynomial sum.  Work goes block by block, so memory follows
-the block and the longest single text, never the batch.
+from two running polynomial sums, each modulo a prime.  Work goes block by block, so
+that memory follows the block and the longest single text, never the batch.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 #: Bytes hashed at a time: what fits in a core's cache.
 BLOCK = 1 << 16
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: (prime, base): two polynomials of 31 bits each make the hash of a word.
+_FIELDS = ((2_147_483_647, 1_389_796_733), (2_147_483_629, 945_177_431))
 
 #: ASCII white space: 0x20 and 0x09-0x0D.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
@@ -76,10 +76,15 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
 
 
 @lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE), np.full(size, _BASE_INVERSE)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+def _powers(prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of ``base`` and of its inverse, up to ``BLOCK``."""
+    out = []
+    for b in (base, pow(base, -1, prime)):
+        powers = np.ones(1, np.uint64)
+        while len(powers) <= BLOCK:
+            powers = np.concatenate([powers, powers * np.uint64(pow(b, len(powers), prime)) % np.uint64(prime)])
+        out.append(powers[: BLOCK + 1])
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,21 +98,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, letters A-Z in lower case."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        left = int(starts[at])
-        until = max(int(np.searchsorted(ends, left + BLOCK, side="right")), at + 1)
-        right = int(ends[until - 1])
-        size = 1 << max(16, (right - left).bit_length())
-        up, down = _powers(size)
-        total = np.zeros(right - left + 1, dtype=np.uint64)
-        np.cumsum((LOWER[raw[left:right]].astype(np.uint64) + np.uint64(1)) * up[: right - left], out=total[1:])
-        s, e = starts[at:until] - left, ends[at:until] - left
-        out[at:until] = mix((total[e] - total[s]) * down[s])
-        at = until
-    return out
+    """64-bit hashes of the words (in order, apart), letters A-Z in lower case; a word may span blocks."""
+    sums = [np.zeros((2, len(starts)), np.uint64) for _ in _FIELDS]
+    first = np.searchsorted(starts, np.arange(0, len(raw) + BLOCK, BLOCK))
+    last = np.searchsorted(ends - 1, np.arange(0, len(raw) + BLOCK, BLOCK))
+    total = np.zeros(BLOCK + 1, np.uint64)
+    carried, scale = [0] * len(_FIELDS), [(1, 1)] * len(_FIELDS)
+    for block, left in enumerate(range(0, len(raw), BLOCK)):
+        codes = LOWER[raw[left : left + BLOCK]].astype(np.uint64) + np.uint64(1)
+        mine, closing = slice(first[block], first[block + 1]), slice(last[block], last[block + 1])
+        for i, (prime, base) in enumerate(_FIELDS):
+            up, down = _powers(prime, base)
+            p, (here, back) = np.uint64(prime), scale[i]
+            # Codes under 2^9 times powers under 2^31, 2^16 of them: no overflow.
+            np.cumsum(codes * up[: len(codes)], out=total[1 : len(codes) + 1])
+            for row, at in ((0, starts[mine] - left), (1, ends[closing] - left)):
+                sums[i][row, mine if row == 0 else closing] = (np.uint64(carried[i]) + total[at] % p * np.uint64(here)) % p
+            # The start's inverse power, kept in the place of its sum: what is between start and end is all that is wanted.
+            if mine.stop > mine.start:
+                inverse = down[starts[mine] - left] * np.uint64(back) % p
+                sums[i][0, mine] |= inverse << np.uint64(32)
+            carried[i] = int((carried[i] + int(total[len(codes)]) % prime * here) % prime)
+            scale[i] = (here * int(up[BLOCK]) % prime, back * int(down[BLOCK]) % prime)
+    out = np.zeros(len(starts), np.uint64)
+    for i, (prime, _) in enumerate(_FIELDS):
+        p = np.uint64(prime)
+        before, inverse = sums[i][0] & np.uint64(0xFFFFFFFF), sums[i][0] >> np.uint64(32)
+        out |= (sums[i][1] + p - before) % p * inverse % p << np.uint64(31 * i)
+    return mix(out)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -13,13 +13,14 @@ item has several, and begin at every word of every document and of every item.
 depends on the step alone, so the walks of all windows are moved together, one array
 operation a step.  ``tables_for`` adds tables for each window size until the target recall
 is reached at every length of item, for the largest distance allowed, and warns if not.
+Items under ``LEAST`` words allow no edit and need no walk: the hash of the whole run is their key.
 
 A pair that meets is verified: first by the number of words it shares at least, then
 by the exact edit distance to the best run of words around (a bit-parallel scan).
 
 Defined results: null and empty texts and items without words match nothing; items
-under ``LEAST`` words are looked for as exact runs by the same walk; texts of any
-length are scanned whole, in blocks; an item that occurs repeatedly in a document is
+under ``LEAST`` words are looked for as exact runs; texts of any
+length are scanned whole, ``CHUNK`` words at a time; an item that occurs repeatedly in a document is
 one pair, with its least distance; repeated rows give repeated pairs; empty tables
 give empty results; only ids and texts are read.
 """
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .bytescan import ALPHANUMERIC, mix, text_blocks, word_bounds, word_hashes
+from .bytescan import ALPHANUMERIC, mix, shingle_hashes, text_blocks, word_bounds, word_hashes
 from .scratch import checkpointed
 from .skew import without
 
@@ -48,6 +49,10 @@ TRIALS, MOST = 400, 256
 #: Items of one pass over the documents: what goes with the tasks is bounded by it.
 ITEMS = 5_000
 FILTER_BITS = 18
+#: Words whose walks are moved together.
+CHUNK = 1 << 16
+#: The number of the walk that is none: the key is the hash of a run of words.
+RUN = -1
 
 
 @dataclass(frozen=True)
@@ -80,8 +85,12 @@ def walk(words: np.ndarray, number: int, steps: list[int]) -> Iterator[tuple[int
 
 
 def table_keys(words: np.ndarray, plan: list[tuple[int, int, tuple[int, ...]]]) -> Iterator[tuple[int, np.ndarray]]:
-    """(table number, key of the window at every word); ``plan``: walk, table and its steps."""
-    for number in sorted({w for w, _, _ in plan}):
+    """(table number, key of the window at every word); ``plan``: walk, table and its steps (of a run, its words)."""
+    for t, (size,) in ((t, steps) for w, t, steps in plan if w == RUN):
+        keys = np.zeros(len(words), dtype=np.uint64)
+        keys[: max(0, len(words) - size + 1)] = shingle_hashes(words, size) if len(words) >= size else 0
+        yield t, keys
+    for number in sorted({w for w, _, _ in plan} - {RUN}):
         mine = [(t, steps) for w, t, steps in plan if w == number]
         keys: dict[int, np.ndarray] = {}
         uses: dict[int, list[int]] = {}
@@ -114,7 +123,7 @@ def sampled_steps(size: int, table: int, sampled: int = SAMPLED) -> tuple[int, .
 
 def plan_for(tables: dict[tuple[int, bool], int]) -> list[tuple[int, int, tuple[int, ...], int, bool]]:
     """(walk, table number, steps, window size, whether for items under ``LEAST``) for each kind of window with its number of tables."""
-    plan = [(i % WALKS, sampled_steps(size, i), size, short) for (size, short), n in tables.items() for i in range(n)]
+    plan = [(RUN, (size,), size, True) if short else (i % WALKS, sampled_steps(size, i), size, False) for (size, short), n in tables.items() for i in range(n)]
     return [(number, t, steps, size, short) for t, (number, steps, size, short) in enumerate(plan)]
 
 
@@ -182,7 +191,7 @@ def build(ids: list[int], texts: list[str | None], recall: float = RECALL, dista
         words += [w[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     kinds = sorted({(window_size(len(w)), len(w) < LEAST) for w in words if len(w)})
     tables = []
-    for number, table, steps, size, short in plan_for({(size, short): 24 if short else tables_for(words, size, recall, distance) for size, short in kinds}):
+    for number, table, steps, size, short in plan_for({(size, short): 1 if short else tables_for(words, size, recall, distance) for size, short in kinds}):
         keys, items, starts = [], [], []
         for i, w in enumerate(words):
             if len(w) and window_size(len(w)) == size and (len(w) < LEAST) == short:
@@ -225,14 +234,19 @@ def search(words: np.ndarray, first: np.ndarray, index: Index, filters: list[np.
         return []
     found = []
     plan = [(number, t, tuple(steps.tolist())) for t, (number, steps, *_) in enumerate(index.tables)]
-    for t, keys in table_keys(words, plan):
-        _, _, known, items, starts = index.tables[t]
-        hits = np.flatnonzero(filters[t][keys >> np.uint64(64 - FILTER_BITS)])
-        if len(hits):
-            low = np.searchsorted(known, keys[hits], side="left")
-            count = np.searchsorted(known, keys[hits], side="right") - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            found.append(np.stack([np.repeat(hits, count) - starts[at], items[at], np.repeat(hits, count)]))
+    # A walk sees no more words than it takes steps.
+    margin = max((max(steps) + 1 for _, _, steps in plan), default=0)
+    for left in range(0, len(words), CHUNK):
+        for t, keys in table_keys(words[left : left + CHUNK + margin], plan):
+            _, _, known, items, starts = index.tables[t]
+            keys = keys[:CHUNK]
+            hits = np.flatnonzero(filters[t][keys >> np.uint64(64 - FILTER_BITS)])
+            if len(hits):
+                low = np.searchsorted(known, keys[hits], side="left")
+                count = np.searchsorted(known, keys[hits], side="right") - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                place = np.repeat(hits, count) + left
+                found.append(np.stack([place - starts[at], items[at], place]))
     if not found:
         return []
     begin, item, hit = np.concatenate(found, axis=1)
