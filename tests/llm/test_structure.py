@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 import math
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -22,7 +24,7 @@ from .helpers import EDGE, docs
 
 
 def test_payloads_come_back(spark):
-    rows = media.audio_table(docs(spark, EDGE), keep=("wav", "segments", "patches")).collect()
+    rows = media.audio_table(docs(spark, EDGE), leave=()).collect()
     assert len(rows) == len(EDGE)
     for r, (id, text) in zip(sorted(rows, key=lambda r: (r.doc_id or 0, r.n_bytes)), sorted(EDGE, key=lambda e: (e[0] or 0, len((e[1] or "").encode()))), strict=True):
         raw = (text or "").encode()
@@ -31,28 +33,51 @@ def test_payloads_come_back(spark):
         assert media.from_wav(bytes(r.wav)) == (media.STORED_RATE, payload)
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
         assert r.media_bytes == len(r.wav) and r.media_sha256 == hashlib.sha256(r.wav).hexdigest()
-        assert all(len(p.mel) == media.PATCH * media.BANDS and p.start_s < p.end_s for p in r.patches)
-        assert len(r.patches) == -(-r.n_frames // media.PATCH) and len(r.segments) == r.n_segments
+        assert len(r.segments) == r.n_segments and all(x.start_s < x.end_s for x in r.segments)
+        mel, batch = media.from_tensors(bytes(r.tensors))
+        tensors = batch.column("mel")
+        assert tensors.type.shape == [media.PATCH, media.BANDS] and len(tensors) == -(-r.n_frames // media.PATCH) and len(mel) == r.n_frames
+        assert (mel == media.log_mel(np.frombuffer(payload, np.uint8))).all()
+        starts, ends = batch.column("start_s").to_pylist(), batch.column("end_s").to_pylist()
+        assert starts[0] == 0 and all(a < e for a, e in zip(starts, ends, strict=True))
+        assert starts[1:] == [media.PATCH * i * media.HOP / media.RATE for i in range(1, len(starts))]
     assert len({r.feature for r in rows if r.doc_id == 4}) == 1
     assert media.audio_table(docs(spark, [])).count() == 0
 
 
+def test_a_text_over_many_blocks_is_whole(spark):
+    text = "é" * 1_500_000 + "x" * 2_000_000
+    out = media.audio_table(docs(spark, [(1, text), (2, "x"), (3, text)])).collect()
+    payload = text.encode() + b"\xff" * (-len(text.encode()) % 576)
+    got = {r.doc_id: r for r in out}
+    assert got[1].payload_sha256 == got[3].payload_sha256 == hashlib.sha256(payload).hexdigest()
+    assert got[1].feature == got[3].feature and got[1].n_frames > 3 * media.FRAMES
+
+
 def test_resampling_and_bands_equal_the_plain_formulas():
     rng = np.random.default_rng(0)
-    x = rng.standard_normal(3000).astype(np.float32)
+    x = rng.integers(0, 256, 30_000).astype(np.uint8)
     half = 8 * max(media.UP, media.DOWN)
     t = np.arange(-half, half + 1)
     taps = np.sinc(t / max(media.UP, media.DOWN)) * np.hamming(2 * half + 1)
     taps *= media.UP / taps.sum()
     stuffed = np.zeros(len(x) * media.UP)
-    stuffed[:: media.UP] = x
+    stuffed[:: media.UP] = (x.astype(float) - 128) / 128
     want = np.convolve(stuffed, taps)[half : half + len(stuffed)][:: media.DOWN]
-    assert np.abs(media.resample(x) - want).max() < 1e-4
-    mel = media.log_mel(media.resample(x))
-    y = media.resample(x)
+    assert np.abs(media.resample(x, 0, len(want)) - want).max() < 1e-9
+    assert np.abs(media.resample(x, 777, 9000) - want[777:9000]).max() < 1e-9
     window, bank = media._mel()
-    frame = y[media.HOP : media.HOP + media.WIDTH] * window
-    assert np.allclose(mel[1], np.log(np.abs(np.fft.rfft(frame, media.FFT)) ** 2 @ bank + 1e-6), atol=1e-3)
+    whole = media.log_mel(x)
+    for i in (0, 1, 57):
+        frame = want[i * media.HOP : i * media.HOP + media.WIDTH] * window
+        assert np.allclose(whole[i], np.log(np.abs(np.fft.rfft(frame, media.FFT)) ** 2 @ bank + 1e-6), atol=1e-5)
+
+
+def test_blocks_of_frames_do_not_show(monkeypatch):
+    x = np.random.default_rng(3).integers(0, 256, 40_000).astype(np.uint8)
+    whole = media.log_mel(x)
+    monkeypatch.setattr(media, "FRAMES", 7)
+    assert np.allclose(media.log_mel(x), whole, atol=1e-5)
 
 
 def test_segments_need_two_thresholds():
@@ -61,14 +86,6 @@ def test_segments_need_two_thresholds():
     assert media.segments(np.full(4, 0.05)) == []
 
 
-def test_patches_are_an_arrow_tensor_column():
-    mel = np.arange(70 * media.BANDS, dtype=np.float32).reshape(70, media.BANDS)
-    rows = [[{"start_s": a, "end_s": b, "mel": m.ravel()} for a, b, m in media.patches(mel)]]
-    array = media.as_tensors(rows)
-    assert array.type.shape == [media.PATCH, media.BANDS] and len(array) == 2
-    assert (array.to_numpy_ndarray()[0] == mel[: media.PATCH]).all()
-
-
 # --- WARC ---
 
 PAGES = [(1, "http://a/x y\n", "same"), (2, None, "same"), (3, "http://a/3", None), (4, "http://a/4", ""), (5, "http://a/5", "é" * 100_000), (6, "http://a/6", "same"), (None, "http://a/7", "same")]
@@ -103,20 +120,39 @@ def test_warc_repeats_and_empty(spark):
 
 def test_warc_files_are_members_that_the_index_points_at(spark, tmp_path):
     with Scratch(spark) as scratch:
-        index = warc.write_archives(spark.createDataFrame(PAGES, PAGE), str(tmp_path), file_bytes=200, scratch=scratch)
+        index = warc.write_archives(spark.createDataFrame(PAGES, PAGE), str(tmp_path), scratch, file_bytes=200)
         rows = index.collect()
         assert len({r.file for r in rows}) > 1
+        ids, targets = set(), {}
         for r in rows:
             raw = (tmp_path / r.file).read_bytes()
             member = gzip.decompress(raw[r.offset : r.offset + r.length])
             head, _, payload = warc.parse(member)
             assert head["warc-payload-digest"] == f"sha1:{r.digest}" and head["warc-type"] == r.record_type
             assert "\n" not in head.get("warc-target-uri", "")
+            ids.add(head["warc-record-id"])
+            targets[r.page_id] = head.get("warc-refers-to-target-uri")
             assert gzip.decompress(raw).count(b"WARC/1.1\r\n") >= 2
+        assert len(ids) == len(rows)
+        assert targets[2] == "http://a/6" and targets[3] == "http://a/4" and targets[6] is None
         some = warc.read_records(index.where("page_id in (2, 5)"), str(tmp_path), payloads=True).collect()
         assert {(r.page_id, None if r.payload is None else len(r.payload)) for r in some} == {(2, None), (5, 200_000)}
 
 
+def test_reading_is_cut_by_archived_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 1000)
+    rows = [(i, f"http://a/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 20) for i in range(60)]
+    with Scratch(spark) as scratch:
+        index = warc.write_archives(spark.createDataFrame(rows, PAGE), str(tmp_path), scratch, file_bytes=2000)
+        read = warc.read_records(index, str(tmp_path))
+        assert read.rdd.getNumPartitions() == -(-index.agg(F.sum("length")).first()[0] // 1000) > 10
+        assert read.count() == 60
+
+
+def test_folders_of_object_stores():
+    assert warc.opened("file:///tmp/x")[1] == "/tmp/x" and warc.opened("/tmp/x")[1] == "/tmp/x"
+
+
 def test_ranges_are_joined():
     got = list(warc.runs([("a", 0, 10), ("a", 10, 10), ("a", 200_000, 5), ("b", 0, 1)], gap=100))
     assert [(f, s, e, len(m)) for f, s, e, m in got] == [("a", 0, 20, 2), ("a", 200_000, 200_005, 1), ("b", 0, 1, 1)]
@@ -163,6 +199,23 @@ def test_sources_reach_their_weights(spark):
     assert mixing.replicate(big, {"none": 1}).count() == 0
 
 
+def test_columns_with_the_names_of_mixing_are_kept(spark):
+    frame = spark.createDataFrame([(i, "s", i, "r", "k", i) for i in range(40)], "doc_id long, source string, Copy long, rate string, `shuffle.key` string, _copy long")
+    out = mixing.replicate(frame)
+    assert out.columns == [*frame.columns, "_rate", "n_copies", "__copy", "shuffle_key"]
+    assert all(r.Copy == r.doc_id == r._copy and r.rate == "r" for r in out.collect())
+    with Scratch(spark) as scratch:
+        assert scratch.save(out, "mixed").count() == out.count()
+
+
+def test_many_copies_are_made_in_blocks(spark, monkeypatch):
+    big = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "rare").otherwise("hot").alias("source"))
+    whole = sorted(tuple(r) for r in mixing.replicate(big).collect())
+    assert max(r[3] for r in whole) > 60
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    assert sorted(tuple(r) for r in mixing.replicate(big).collect()) == whole
+
+
 def test_many_sources_are_joined_without_broadcast(spark, monkeypatch):
     big = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("string").alias("source"))
     whole = {tuple(r) for r in mixing.replicate(big).collect()}
@@ -216,6 +269,101 @@ def test_variable_segments_become_wildcards(spark):
     assert {r.template for r in urls.judge(pages, labels).collect()} == {"/u/*/x"}
 
 
+def judged(spark, pages, labels):
+    return {r.page_id: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+
+
+@pytest.mark.parametrize("path", ["/{user}/{kind}/p.html", "/a/b/c/d/{kind}", "/a/b/c/d/e/f/{user}/{kind}"])
+def test_statistics_are_pooled_below_variable_segments(spark, path):
+    rows = [(2 * i + j, "http://h.example" + path.format(user=f"user-{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwx'[i // 100]}", kind=kind)) for i in range(400) for j, kind in enumerate(("spam", "news"))]
+    got = judged(spark, rows, [(i, i % 2) for i, _ in rows])
+    assert all(got[i].verdict == ("allow" if i % 2 else "block") for i, _ in rows)
+    assert len({r.template for r in got.values()}) == 2
+
+
+def plain_templates(leaves):
+    """template by (host, shape), of (host, shape) -> (labelled, good): the tree walked node by node."""
+    out = {}
+
+    def walk(host, template, below):
+        branches = {}
+        for shape, rest in below:
+            if rest:
+                branches.setdefault(rest[0], []).append((shape, rest[1:]))
+            else:
+                out[host, shape] = template
+        count = lambda rows: (sum(leaves[host, s][0] for s, _ in rows), sum(leaves[host, s][1] for s, _ in rows))
+        all_n, all_g = count([x for rows in branches.values() for x in rows])
+        children = {}
+        for segment, rows in branches.items():
+            n, g = count(rows)
+            rest_n, rest_g = all_n - n, all_g - g
+            differs = False
+            if n >= urls.LEAST and rest_n >= urls.LEAST:
+                share = all_g / all_n
+                differs = abs(g / n - rest_g / rest_n) > urls.Z * math.sqrt(share * (1 - share) * (1 / n + 1 / rest_n))
+            name = "*" if segment and len(branches) > 1 and not differs else segment
+            children.setdefault(name, []).extend(rows)
+        for name, rows in children.items():
+            walk(host, f"{template}/{name}", rows)
+
+    for host in {h for h, _ in leaves}:
+        walk(host, "", [(s, s.split("/")[1:]) for h, s in leaves if h == host])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_the_tree_equals_a_plain_walk(spark, seed):
+    rng = random.Random(seed)
+    pages, labels = [], []
+    for i in range(1500):
+        parts = [rng.choice("abc") * rng.randrange(1, 3), rng.choice(["x", "spam", "y", f"p{rng.randrange(9)}*"]), rng.choice(["", "q", "r.html"])][: rng.randrange(1, 4)]
+        pages.append((i, rng.choice([f"http://{rng.choice('mno')}.example/" + "/".join(parts), "http://m.example", None]) if i % 40 == 0 else f"http://{rng.choice('mno')}.example/" + "/".join(parts)))
+        if rng.random() < 0.7:
+            labels.append((i, int(rng.random() < (0.1 if "spam" in parts else 0.6 if "a" in parts else 0.9))))
+            if rng.random() < 0.1:
+                labels.append((i, 0))
+    pages += pages[:5]
+    good = {}
+    for i, g in labels:
+        good[i] = min(g, good.get(i, 1))
+    leaves, keys = {}, []
+    for i, url in pages:
+        host, _, path = (url or "").partition("://")[2].partition("/")
+        key = (host, re.sub("[0-9]+", "{n}", ("/" + path if _ else "").replace("*", "%2A")))
+        n, g = leaves.get(key, (0, 0))
+        leaves[key] = (n + (i in good), g + good.get(i, 0))
+        keys.append((i, key))
+    named = plain_templates(leaves)
+    total = lambda rows: (sum(leaves[k][0] for k in rows), sum(leaves[k][1] for k in rows))
+    n, g = total(leaves)
+    p0 = (g + urls.SMOOTH / 2) / (n + urls.SMOOTH)
+    want = Counter()
+    for i, key in keys:
+        n, g = total([k for k in leaves if k[0] == key[0]])
+        p1 = (g + urls.SMOOTH * p0) / (n + urls.SMOOTH)
+        n, g = total([k for k in leaves if k[0] == key[0] and named[k] == named[key]])
+        want[i, named[key], round((g + urls.SMOOTH * p1) / (n + urls.SMOOTH), 6)] += 1
+    out = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert Counter((r.page_id, r.template, r.purity) for r in out) == want
+    assert all(r.verdict == ("block" if r.purity < urls.PURITY else "allow") for r in out)
+
+
+def test_url_filters_run_no_python(spark, sf_dir, monkeypatch):
+    plans = []
+    save = Scratch.save
+
+    def seen(self, df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    plans.append(urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))._jdf.queryExecution().toString())
+    assert len(plans) > 5
+    for plan in plans:
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
 # --- pipeline ---
 
 
