@@ -28,8 +28,7 @@ def with_estimate(files: DataFrame, margin: float = MARGIN, engine: tokenizers.E
     else:
         mark = "\u0000"  # stands for the numbers, and cuts the header in three
         cut = F.split(C.source_header(F.lit(mark), F.lit(mark)), mark)
-        path = engine.path
-        count = F.pandas_udf(lambda rows: tokenizers.precise_estimate(rows, path, margin), "bytes_utf8 long, tokens_estimated long, tokens_with_margin long")
+        count = F.pandas_udf(lambda rows: tokenizers.precise_estimate(rows, engine, margin), "bytes_utf8 long, tokens_estimated long, tokens_with_margin long")
         rows = files.withColumn("_e", F.when(live, count(F.struct(F.when(live, F.col("text")).alias("text"), cut[0].alias("before"), cut[1].alias("between"), cut[2].alias("after")))))
     return rows.select(*(c for c in rows.columns if c not in (*NUMBERS, "_e")), *(F.coalesce(F.col(f"_e.{n}"), F.lit(0)).cast("long").alias(n) for n in NUMBERS))
 

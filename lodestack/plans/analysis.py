@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import threading
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from datetime import datetime
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +25,10 @@ from ..selection import path_key
 from ..streaming.progress import ProgressEmitter, ProgressEvent
 
 
+#: A watched analysis: files of a part, parts at most, parts at a time.
+FILES_A_PART, MAX_PARTS, WORKERS = 50, 64, 4
+
+
 @dataclass
 class AnalysisResult:
     """Lazy tables and the decision; limit, engine and files can change without a new extraction."""
@@ -107,20 +117,61 @@ def run_analysis(
     """Analyses folders and files; the texts are extracted once and kept for recomputations."""
     files, ignored = inventory.collect_inputs(spark, input_path, recursive, exclude_globs or (), extensions or EXTENSIONS, sort, max_depth)
     scan = scan or ScanConfig()
-    read = extraction.extract(files)
-    read = read.withColumn("failed", extraction.is_failed()).withColumn("ignored", F.coalesce(F.col("extract_status") == IGNORED, F.lit(False)))
-    read = budget.with_status(read, min_file=scan.min_chars_file, min_page=scan.min_chars_per_page, sparse=scan.sparse_page_chars, ratio=scan.sparse_page_ratio).drop("extract_status", "failed", "ignored")
-    read = read.persist()
-    if emitter is not None:
-        total = files.count()
-        for row in files.select("path").toLocalIterator():
-            emitter.emit(ProgressEvent(row["path"], 0, total, "pending", t("status.pending")))
-        for i, row in enumerate(read.select("path", "base_status").toLocalIterator(), 1):
+
+    def read(files: DataFrame) -> DataFrame:
+        rows = extraction.extract(files)
+        rows = rows.withColumn("failed", extraction.is_failed()).withColumn("ignored", F.coalesce(F.col("extract_status") == IGNORED, F.lit(False)))
+        rows = budget.with_status(rows, min_file=scan.min_chars_file, min_page=scan.min_chars_per_page, sparse=scan.sparse_page_chars, ratio=scan.sparse_page_ratio)
+        return rows.drop("extract_status", "failed", "ignored").persist()
+
+    rows = read(files) if emitter is None else _watched(spark, files.persist(), read, emitter)
+    return AnalysisResult(rows, ignored.persist(), context_limit, margin, tokenizers.resolve(tokenizer_engine))
+
+
+def _watched(spark: SparkSession, files: DataFrame, read: Callable[[DataFrame], DataFrame], emitter: ProgressEmitter) -> DataFrame:
+    """``read(files)``, part by part, with an event for each file as its part ends; cancelled, the parts that had ended by then.
+
+    Parts are read side by side, each in jobs under one tag of this analysis, so that
+    cancelling stops no other job of the session.  The rows stay cached on the executors;
+    only paths and statuses come to the driver, a partition at a time.
+    """
+    sc = spark.sparkContext
+    total, tag = files.count(), f"analysis-{uuid.uuid4().hex}"
+    for row in files.select("path").toLocalIterator():
+        emitter.emit(ProgressEvent(row["path"], 0, total, "pending", t("status.pending")))
+    parts = max(1, min(MAX_PARTS, total // FILES_A_PART + 1))
+    number, lock = itertools.count(1), threading.Lock()
+
+    def one(part: int) -> DataFrame | None:
+        if emitter.is_cancelled():
+            return None
+        sc.addJobTag(tag)
+        try:
+            rows = read(files.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == part))
+            for row in rows.select("path", "base_status").toLocalIterator():
+                if emitter.is_cancelled():
+                    return None
+                with lock:
+                    emitter.emit(ProgressEvent(row["path"], next(number), total, row["base_status"], ""))
+            return rows
+        except Exception:
+            if emitter.is_cancelled():
+                return None
+            raise
+        finally:
+            sc.removeJobTag(tag)
+
+    with ThreadPoolExecutor(max_workers=WORKERS) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(one), part) for part in range(parts)]
+        while not all(j.done() for j in jobs):
             if emitter.is_cancelled():
-                spark.sparkContext.cancelAllJobs()
-                break
-            emitter.emit(ProgressEvent(row["path"], i, total, row["base_status"], ""))
-    return AnalysisResult(read, ignored.persist(), context_limit, margin, tokenizers.resolve(tokenizer_engine))
+                sc.cancelJobsWithTag(tag)
+            wait(jobs, timeout=0.1)
+    out = None
+    for rows in (j.result() for j in jobs):
+        if rows is not None:
+            out = rows if out is None else out.unionByName(rows)
+    return read(files.limit(0)) if out is None else out
 
 
 def report_paths(output: Path, report: Path | None = None) -> tuple[Path, Path]:

@@ -233,6 +233,37 @@ def test_progress(spark, folder):
     assert emitter.is_cancelled() and emitter.drain() == []
 
 
+class StopsAfter(ProgressEmitter):
+    """Cancels itself at the n-th file that ends."""
+
+    def __init__(self, n):
+        super().__init__()
+        self.left, self.seen = n, []
+
+    def emit(self, event):
+        if event.status != "pending" and not self.is_cancelled():
+            self.seen.append(event.file_path)
+            self.left -= 1
+            if not self.left:
+                self.cancel()
+        super().emit(event)
+
+
+def test_cancelling_keeps_what_was_read(spark, folder, monkeypatch):
+    monkeypatch.setattr(analysis, "FILES_A_PART", 1)
+    monkeypatch.setattr(analysis, "WORKERS", 1)
+    all_files = {r.path for r in analysis.run_analysis(spark, folder).files.collect()}
+    emitter = StopsAfter(4)
+    result = analysis.run_analysis(spark, folder, emitter=emitter)
+    got = {r.path for r in result.files.collect()}
+    assert got < all_files and got <= set(emitter.seen) and len(got) >= 1
+    assert result.decided.n_files == len(got)
+    assert spark.range(5).count() == 5
+    at_once = ProgressEmitter()
+    at_once.cancel()
+    assert analysis.run_analysis(spark, folder, emitter=at_once).files.count() == 0
+
+
 def test_stream_totals_equal_the_batch(spark, sf_dir, tmp_path):
     from lodestack.operators import budget
     from lodestack.sources import tables

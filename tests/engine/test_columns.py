@@ -161,6 +161,39 @@ def test_engines_fall_back():
     assert [e.id for e in tokenizers.list_engines()] == ["approx", "mistral", "openai"]
 
 
+def test_the_pattern_is_that_of_the_engine():
+    import regex
+
+    from lodestack.functions import tokenizers
+
+    split = lambda name, text: regex.findall(tokenizers.PATTERNS.get(name, tokenizers.BYTE_LEVEL), text)
+    assert split("openai", "year 20261 isn't//\n\nHelloWorld") == ["year", " ", "202", "61", " isn't", "//\n\n", "Hello", "World"]
+    assert split("mistral", "year 20261 isn't") == ["year", " 20261", " isn", "'t"]
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if os.path.exists(path):
+        old, new = tokenizers.encoding(path), tokenizers.encoding(path, tokenizers.O200K)
+        assert new.encode_ordinary("123456789") == old.encode_ordinary("123") + old.encode_ordinary("456") + old.encode_ordinary("789")
+        tokenizers.configure("openai", path)
+        try:
+            assert tokenizers.resolve("openai").counter()("123456789") == len(new.encode_ordinary("123456789"))
+        finally:
+            tokenizers.configure("openai", None)
+
+
+def test_engines_can_be_added(spark):
+    from lodestack.functions import tokenizers
+
+    tokenizers.register("words", lambda text: len(text.split()))
+    try:
+        engine = tokenizers.resolve("words")
+        assert [e.id for e in tokenizers.list_engines()] == ["approx", "mistral", "openai", "words"] and tokenizers.available("words")
+        df = spark.createDataFrame([("a b  c",), (None,)], "text string")
+        assert [r.n for r in df.select(tokenizers.token_count(F.col("text"), engine).alias("n")).collect()] == [3, 0]
+    finally:
+        tokenizers.unregister("words")
+    assert tokenizers.resolve("words").id == "approx"
+
+
 def test_precise_engine(spark):
     from lodestack.functions import tokenizers
 
@@ -172,7 +205,7 @@ def test_precise_engine(spark):
         engine = tokenizers.resolve("openai")
         texts = ["", "Hello world, hello", "accentué", "A" * 5000, "日本語", "def f(x):\n    return x", "😀"]
         df = spark.createDataFrame([(i, x, f"f{i}", "txt", len(x), 0, 0, "ready", "utf-8") for i, x in enumerate(texts)], "i int, text string, relative_path string, file_type string, size_bytes int, page_count int, image_count int, base_status string, encoding string")
-        e = tokenizers.encoding(path)
+        e = tokenizers.encoding(path, tokenizers.O200K)
         rows = {r.i: r for r in budget.with_estimate(df.withColumn("n", tokenizers.token_count(F.col("text"), engine)), 0.15, engine).collect()}
         for i, x in enumerate(texts):
             r = rows[i]
