@@ -34,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..shipping import ship
 from .bytescan import LOWER, NOT_SPACE, mix, shingle_hashes, text_blocks, word_bounds, word_hashes
@@ -42,7 +41,8 @@ from .components import connected_components
 from .scratch import Scratch, checkpointed
 from .skew import few, without
 
-#: Chance, per element, that a small subset is shared by an unrelated set.
+#: Each further word of a shingle makes it so much less likely that an unrelated document holds it too.
+#: This estimate only decides between subsets and neighbourhoods; both are exact.
 CHANCE = 1 / 8
 #: Open pairs in a key from which the prefix filter takes over.
 OPEN = 64
@@ -66,13 +66,14 @@ def difference(size: int, percent: int) -> int:
     return (100 - percent) * 2 * size // (100 + percent)
 
 
-def keys_of(elements: np.ndarray, percent: int, total: int, known: dict) -> np.ndarray:
-    """The index keys of a set (sorted, distinct); ``known`` keeps the bands by size."""
+def keys_of(elements: np.ndarray, percent: int, total: int, chance: float, known: dict) -> np.ndarray:
+    """The index keys of a set (sorted, distinct) among ``total`` sets of which each holds a given element by ``chance``; ``known`` keeps the bands by size."""
     size = len(elements)
     if size not in known:
         known[size] = bands(size, percent)
     number, _, high, next_high = known[size]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements.copy()), dtype=np.uint64)])
+    mixed = mix(elements)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
     out = []
     for scheme, top in ((number, high), (number + 1, next_high)):
         most = difference(top, percent)
@@ -85,12 +86,16 @@ def keys_of(elements: np.ndarray, percent: int, total: int, known: dict) -> np.n
         part = sums[cuts[1:]] - sums[cuts[:-1]]
         base = mix(part ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(scheme << 32)))
         count = np.diff(cuts)
-        small = total * CHANCE**count > 1 + top / m
+        small = total * chance**count > 1 + top / m
         out.append(base[~small])
-        for i in np.flatnonzero(small):
-            j = (i + 1) % m
-            near = np.append(part[j], part[j] - mix(elements[cuts[j] : cuts[j + 1]].copy()))
-            out.append(mix(near + mix(base[i : i + 1] + np.uint64(1))))
+        here = np.flatnonzero(small)
+        after = (here + 1) % m
+        salt, many = mix(base[here] + np.uint64(1)), count[after]
+        # The next segment whole, and without each of its elements.
+        out.append(mix(part[after] + salt))
+        if len(here):
+            element = np.repeat(cuts[after] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            out.append(mix(np.repeat(part[after] + salt, many) - mixed[element]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -113,10 +118,11 @@ def signatures(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
+        chance = CHANCE ** (k - 1)
         for ids, sets in _sets(batches, k):
             h1 = np.array([mix(x.copy()).sum(dtype=np.uint64) for x in sets], np.uint64)
             h2 = np.array([mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64)
-            keys = [keys_of(x, percent, total, known) if len(x) else x for x in sets]
+            keys = [keys_of(x, percent, total, chance, known) if len(x) else x for x in sets]
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), _lists(keys)], names=["doc_id", "n_shingles", "h1", "h2", "keys"])
 
     ship(docs.sparkSession)
