@@ -12,6 +12,7 @@ from ..constants import EXTENSIONS, IMAGE_EXTENSIONS, SPECIAL_FILES, TOO_LARGE
 from ..functions import columns as C
 from ..operators import assembly, budget, inventory
 from ..sources.tables import as_mixed_files, as_text_files, conversation_pages, read
+from . import formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -29,11 +30,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | formats.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | formats.oracle_sql()
 
 
 def _n(x: str) -> str:
@@ -326,18 +327,7 @@ def xml_escape(spark, sf):
 
 def _read_column(df: DataFrame, id: str, content, extension: str) -> DataFrame:
     """The reader for ``extension`` over a column of bytes."""
-    import pandas as pd
-
-    from ..shipping import ship
-    from ..sources.readers import safe_read
-
-    def work(batches):
-        for b in batches:
-            found = [safe_read(bytes(raw), extension) for raw in b["raw"]]
-            yield pd.DataFrame({"id": b["id"], "text": [f.text for f in found], "status": [f.status for f in found], "image_count": [f.image_count for f in found], "encoding": [f.encoding for f in found], "error_message": [f.error_message for f in found]})
-
-    ship(df.sparkSession)
-    return df.select(F.col(id).cast("long").alias("id"), content.cast("binary").alias("raw")).mapInPandas(work, "id long, text string, status string, image_count int, encoding string, error_message string")
+    return formats.read_back(df.select(id, content.cast("binary").alias("raw")), id, extension, None, ("raw",))
 
 
 @query()
@@ -362,10 +352,10 @@ def csv_join_text(spark, sf):
     return _read_column(read(spark, sf, "nation"), "n_nationkey", raw, ".csv").select("id", "text")
 
 
-@query("SELECT conv_id * 100 + turn AS id, '**Sujet** : ' || role || chr(10) || '**De** : a@example.org' || chr(10) || chr(10) || replace(coalesce(text, ''), chr(13), '') || chr(10) AS text FROM conversations WHERE coalesce(text, '') <> ''")
+@query("SELECT conv_id * 100 + turn AS id, '**Sujet** : ' || role || chr(10) || '**De** : a@example.org' || chr(10) || chr(10) || replace(coalesce(text, ''), chr(13), '') || chr(10) AS text FROM conversations")
 def eml_extract(spark, sf):
-    c = read(spark, sf, "conversations").where("coalesce(text, '') <> ''").withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
-    raw = F.concat(F.lit("Subject: "), F.col("role"), F.lit("\nFrom: a@example.org\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.regexp_replace("text", "\r", ""), F.lit("\n"))
+    c = read(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
+    raw = F.concat(F.lit("Subject: "), F.col("role"), F.lit("\nFrom: a@example.org\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "\r", ""), F.lit("\n"))
     return _read_column(c, "id", raw, ".eml").select("id", "text")
 
 
