@@ -40,6 +40,14 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{STRIP}|{STRIP}\z", "")
 
 
+def shorter(text: Column, least: int) -> Column:
+    """Whether the stripped text has fewer than ``least`` characters: a search that ends at the first place that decides it."""
+    if least < 1:
+        return F.lit(False)
+    black = f"[^{STRIP[1:-2]}]"
+    return ~F.rlike(text, F.lit(black if least == 1 else rf"{black}[\s\S]{{{least - 2},}}?{black}"))
+
+
 def suffix(name: Column) -> Column:
     """Last dot and what follows, in lower case; none for dot files and names that end in a dot."""
     return F.lower(F.regexp_extract(name, r"(?s)(?<=.)(\.[^.]+)\z", 1))
@@ -115,7 +123,7 @@ def sparse_share(chars: Column, sparse: int = SPARSE_CHARS) -> Column:
 def low_text(text: Column, chars: Column, images: Column, min_file=MIN_CHARS_FILE, min_page=MIN_CHARS_PAGE, sparse=SPARSE_CHARS, ratio=SPARSE_RATIO) -> Column:
     paged = F.coalesce(F.size(chars) > 0, F.lit(False))
     pages = F.when(paged, (page_average(chars) < min_page) | ((images > 0) & (sparse_share(chars, sparse) >= ratio))).otherwise(False)
-    return (F.length(strip(F.coalesce(text, F.lit("")))) < min_file) | pages
+    return shorter(F.coalesce(text, F.lit("")), min_file) | pages
 
 
 def file_status(text: Column, chars: Column, images: Column, ignored: Column, failed: Column, **thresholds) -> Column:

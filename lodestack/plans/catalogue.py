@@ -338,7 +338,8 @@ def html_extract(spark, sf):
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<img[ >/]'))::INTEGER AS image_count FROM pages")
 def html_image_count(spark, sf):
-    return read(spark, sf, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(<img[ >/])"))).alias("image_count"))
+    """The images that the reader finds."""
+    return html_extract(spark, sf).select("page_id", "image_count")
 
 
 @query("""SELECT event_id AS id, '{' || chr(10) || '  "k": ' || regexp_extract(props, '([0-9]+)', 1) || chr(10) || '}' AS text FROM events""")

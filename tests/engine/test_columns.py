@@ -154,6 +154,13 @@ def test_globs(spark):
     assert hit("b[0-9].txt") == {"b2.txt"} and hit("x*.txt") == {"x\ny.txt"} and hit("*[!2].txt") == {"a[1].txt", "x\ny.txt"}
 
 
+def test_shorter_is_the_length_of_the_stripped_text(spark):
+    texts = ["", " ", "a", " a ", "ab", "a b", "\u00a0a\n\n b\u3000", "x" * 80, "x" * 79, " " * 90 + "x", "x" + " " * 90, "x" + " " * 78 + "y", "x" + "\n" * 77 + "y", "😀" * 80, "😀" * 79, "é" * 40 + " " * 60 + "é" * 39]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    for least in (0, 1, 2, 3, 80):
+        assert [r.s for r in df.select(C.shorter(F.col("x"), least).alias("s")).collect()] == [len(x.strip()) < least for x in texts]
+
+
 def test_engines_fall_back():
     from lodestack.functions import tokenizers
 
