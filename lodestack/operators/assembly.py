@@ -68,7 +68,8 @@ def report_rows(files: DataFrame) -> DataFrame:
 def file_json(rows: DataFrame) -> DataFrame:
     """The projection of a file for the JSON report, as one JSON text per file."""
     names = ("path", "relative_path", "extension", "file_type", "size_bytes", "text_length", "status", "error_message", "image_count", "page_count", "encoding", "chars_per_page", "extra_metadata", "tokens_estimated", "tokens_with_margin")
-    here = [c for c in names if c in rows.columns]
+    none = F.expr("cast(map() as map<string,string>)")
+    here = [F.coalesce(F.col(c), none).alias(c) if c == "extra_metadata" else c for c in names if c in rows.columns]
     return rows.select("ord", F.to_json(F.struct(*here), {"ignoreNullFields": "false"}).alias("json"))
 
 

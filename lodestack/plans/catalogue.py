@@ -272,7 +272,8 @@ def multi_source_union(spark, sf):
     return inventory.first_wins(rows[0].unionByName(rows[1]).unionByName(rows[2]), "key", [F.col("source_idx"), F.col("path")]).select("key", "source_idx")
 
 
-@query()
+@query("""SELECT path, CASE WHEN path = min(path) OVER () THEN 'page.html' ELSE page_id || '/page.html' END AS relative_path
+FROM (SELECT page_id, '/' || regexp_extract(url, '://([^/?#]*)', 1) || '/' || page_id || '/page.html' AS path FROM pages)""")
 def unique_labels(spark, sf):
     """Labels of all pages, which have the same file name, made different by their folders."""
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
