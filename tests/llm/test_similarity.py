@@ -104,6 +104,12 @@ def test_pipeline_stage_links_five_words_at_four_fifths(spark):
     assert got < {d for d, c in components(rows).items() if d == c}
 
 
+@pytest.fixture(autouse=True)
+def small_counts(monkeypatch):
+    """Fewer buckets of words: as exact, and quicker on small tables."""
+    monkeypatch.setattr(linededup, "COUNTS", 1 << 10)
+
+
 def removed(rows, percent=80):
     lines = [(d, i, set(w for w in re.split("[ \t\n\x0b\x0c\r]", line.lower()) if w)) for d, t in rows if d is not None for i, line in enumerate((t or "").split("\n"))]
     return {(d, i) for d, i, s in lines if s and any((e, j) < (d, i) and u and 100 * len(s & u) >= percent * len(s | u) for e, j, u in lines)}
@@ -122,7 +128,7 @@ def test_line_dedup_equals_all_pairs(spark, seed):
     assert kept == {d: t for d, t in want.items() if t.strip() or not any(d == e for e, _ in got)}
 
 
-@pytest.mark.parametrize(("star", "crowd"), [(1, 1), (1, 12), (2, 4), (1000, 3)])
+@pytest.mark.parametrize(("star", "crowd"), [(1, 1), (2, 4), (1000, 3)])
 def test_line_dedup_equals_all_pairs_where_words_are_crowded(spark, monkeypatch, star, crowd):
     """Near pairs that share rare and crowded prefix words, at distances up to the threshold."""
     monkeypatch.setattr(linededup, "STAR", min(star, crowd))
