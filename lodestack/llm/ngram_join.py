@@ -17,7 +17,8 @@ Equal sets are one class, and only its smallest document is indexed.  Documents
 share a key are first held against the key's first document; what these links
 leave apart is then compared pairwise, in keys with few open pairs directly, in
 others behind a prefix and positional filter over the rarest shingles.  Every pair
-that shares a key is either verified exactly, excluded by an exact bound, or
+that shares a key is either verified exactly, excluded by an exact bound (the elements in
+which the sets differ within a quarter of the universe are too many already), or
 already known to be in one component; nothing is capped.
 
 Defined results: null and empty texts and texts without words have no shingles and
@@ -129,24 +130,35 @@ def signatures(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, shingles (sorted hashes)."""
+def shingle_sets(docs: DataFrame, k: int, bits: int = 0) -> DataFrame:
+    """doc_id, n (size of the set), shingles (sorted hashes; of 2 ** ``bits`` equal parts of the universe, those in the first)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([ids, _lists(sets)], names=["doc_id", "shingles"])
+            kept = [x[: np.searchsorted(x, np.uint64(1 << (64 - bits)))] for x in sets] if bits else sets
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), _lists(kept)], names=["doc_id", "n", "shingles"])
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(work, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(work, "doc_id long, n long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+def within(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets, or the parts of them that are given, differ in no more elements than the threshold allows the whole sets."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    apart = F.size("sa") + F.size("sb") - 2 * F.size(F.array_intersect("sa", "sb"))
     joined = pairs.join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return joined.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return joined.where(apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, tag: str) -> DataFrame:
+    """The pairs (a, b) that reach the threshold: looked at in a quarter of the universe first, then whole."""
+    for name, bits in (("part", 2), ("whole", 0)):
+        ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{tag}-{name}-ids")
+        sets = scratch.save(shingle_sets(docs.join(few(ids), "doc_id", "left_semi"), k, bits).dropDuplicates(["doc_id", "shingles"]), f"{tag}-{name}-sets")
+        pairs = scratch.save(within(pairs, sets, percent), f"{tag}-{name}-pairs")
+        scratch.drop(f"{tag}-{name}-sets")
+    return pairs
 
 
 def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -170,25 +182,27 @@ def similar_documents(df: DataFrame, k: int = 3, percent: int = 90, text: str =
     docs = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with Scratch(df.sparkSession) as scratch:
         signed = scratch.save(signatures(docs, k, percent, docs.count()), "signed")
-        whole = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        plain = scratch.save(signed.drop("keys"), "plain")
+        whole = plain.where("n_shingles > 0 AND doc_id IS NOT NULL")
         classes = whole.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         # Saved first, so that the join's both sides are plain exchanges, of which Spark splits the large ones.
         classes = scratch.save(classes, "classes")
-        members = whole.drop("keys").join(few(classes), ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", "h1", "h2", F.coalesce("least", "doc_id").alias("first"))
+        members = whole.join(few(classes), ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", "h1", "h2", F.coalesce("least", "doc_id").alias("first"))
         members = scratch.save(members, "members")
 
         # An id may have another text besides a copy.
         copies = members.where("doc_id <> first").select("doc_id", "h1", "h2").distinct()
-        index = whole.select("doc_id", "h1", "h2", "keys").join(few(copies), ["doc_id", "h1", "h2"], "left_anti").select("doc_id", F.explode("keys").alias("key"))
-        shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        index = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "h1", "h2", "keys")
+        index = index.join(few(copies), ["doc_id", "h1", "h2"], "left_anti").select("doc_id", F.explode("keys").alias("key"))
+        # Saved first: the shuffle files of the count are gone before those of the join are written.
+        shared = scratch.save(index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "shared")
         # Only rows whose key has company; all that follows is over these.
         met = scratch.save(index.join(shared, "key").select("key", "doc_id").distinct(), "met")
+        scratch.drop("signed")
         first = met.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
         first = scratch.save(first, "first")
         pairs = scratch.save(met.join(first, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
-        ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-        sets = scratch.save(shingle_sets(docs.join(few(ids), "doc_id", "left_semi"), k).dropDuplicates(["doc_id", "shingles"]), "sets")
-        links = scratch.save(verified(pairs, sets, percent), "links")
+        links = confirmed(pairs, docs, k, percent, scratch, "first")
         # Rows with one id but different texts stand in several classes, which belong together.
         torn = members.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a <> z").select("doc_id", "a")
         torn = scratch.save(members.join(torn, "doc_id").select("a", F.col("first").alias("b")), "torn")
@@ -204,13 +218,14 @@ def similar_documents(df: DataFrame, k: int = 3, percent: int = 90, text: str =
             lone = rest.where(F.col("open") <= 2 * OPEN)
             x, y = lone.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca")), lone.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
             more = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b")
-            crowd = rest.where(F.col("open") > 2 * OPEN).select("doc_id").distinct()
-            dense = prefix_pairs(sets.join(few(crowd), "doc_id", "left_semi"), labels.withColumnRenamed("id", "doc_id"), percent)
+            crowd = scratch.save(rest.where(F.col("open") > 2 * OPEN).select("doc_id").distinct(), "crowd")
+            sets = scratch.save(shingle_sets(docs.join(few(crowd), "doc_id", "left_semi"), k).dropDuplicates(["doc_id", "shingles"]), "sets")
+            dense = prefix_pairs(sets, labels.withColumnRenamed("id", "doc_id"), percent)
             more = scratch.save(more.unionByName(dense).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-            labels = connected_components(graph.unionByName(verified(more, sets, percent)), scratch, "c1")
+            labels = connected_components(graph.unionByName(confirmed(more, docs, k, percent, scratch, "more")), scratch, "c1")
         moved = scratch.save(labels.where("id <> component").select(F.col("id").alias("first"), "component"), "moved")
         done = members.join(few(moved), "first", "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
-        bare = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
+        bare = plain.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
         return checkpointed(done.unionByName(bare))
 
 
