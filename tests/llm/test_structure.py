@@ -381,3 +381,16 @@ def test_pipeline_stages(spark, sf_dir):
         assert len(seen[3]) > 0.6 * documents.count()
         assert {c for c in now.columns} == {*documents.columns, "rate", "n_copies", "copy", "shuffle_key"}
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("rows", [EDGE, []])
+def test_pipeline_takes_edge_rows_and_an_empty_table(spark, sf_dir, rows):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    now = docs(spark, rows)
+    columns = now.columns
+    with Scratch(spark) as scratch:
+        for name, stage in corpus_pipeline.STAGES:
+            now = scratch.save(stage(spark, now, sf_dir), name)
+            assert name == "mixing" or now.columns == columns
+        assert now.columns == [*columns, "rate", "n_copies", "_copy", "shuffle_key"]
+        assert {r.doc_id for r in now.collect()} <= {4, 5, 6, None}
