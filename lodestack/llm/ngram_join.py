@@ -155,7 +155,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch:
     """The pairs (a, b) that reach the threshold: looked at in a quarter of the universe first, then whole."""
     for name, bits in (("part", 2), ("whole", 0)):
         ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{tag}-{name}-ids")
-        sets = scratch.save(shingle_sets(docs.join(few(ids), "doc_id", "left_semi"), k, bits).dropDuplicates(["doc_id", "shingles"]), f"{tag}-{name}-sets")
+        sets = scratch.save(shingle_sets(docs.join(few(ids), "doc_id", "left_semi"), k, bits).dropDuplicates(["doc_id", "n", "shingles"]), f"{tag}-{name}-sets")
         pairs = scratch.save(within(pairs, sets, percent), f"{tag}-{name}-pairs")
         scratch.drop(f"{tag}-{name}-sets")
     return pairs

@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark removes a query's shuffle files as soon as the query has ended, not when the driver next collects its garbage.
@@ -50,7 +51,10 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        before = self.spark.conf.get(CLEANUP, None)
+        try:
+            before = self.spark.conf.get(CLEANUP)
+        except PySparkException:  # a Spark without that setting
+            before = None
         if before is not None:
             self.spark.conf.set(CLEANUP, "true")
         try:

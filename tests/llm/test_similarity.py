@@ -3,9 +3,11 @@
 import re
 import random
 
+import numpy as np
 import pytest
 
 from lodestack.llm import linededup, ngram_join
+from lodestack.llm.bytescan import NOT_SPACE, shingle_hashes, word_bounds, word_hashes
 from lodestack.llm.scratch import Scratch
 from lodestack.llm.tables import table
 
@@ -90,6 +92,27 @@ def test_a_copy_leaves_the_other_text_of_its_id_in_the_index(spark):
     assert got == [(5, 5), (7, 5), (7, 5), (9, 5)]
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_texts_of_one_id_that_are_equal_in_the_looked_at_part_are_told_apart(spark, turn):
+    """The quarter of the universe is the same for both texts of id 2; only one of them reaches the threshold."""
+    words = [f"w{i}" for i in range(37)]
+    words.append(next(w for w in (f"z{i}" for i in range(1000)) if hash_of([*words[-2:], w]) >> 62))
+    longer = list(words)
+    for step in range(4):
+        longer.append(next(w for w in (f"y{step}x{i}" for i in range(1000)) if not hash_of([*longer[-2:], w]) >> 62))
+    a, b, c = " ".join(words[:-1]), " ".join(words), " ".join(longer)
+    assert len(shingles(b)) == 36 and len(shingles(c)) == 40
+    two = [(2, a), (2, b)][::turn]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.similar_documents(docs(spark, [(1, c), *two]).coalesce(1)).collect())
+    assert got == [(1, 1), (2, 1), (2, 1)]
+
+
+def hash_of(words):
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = word_bounds(raw, np.array([0, len(raw)]), NOT_SPACE)
+    return int(shingle_hashes(word_hashes(raw, starts, ends), len(words))[0])
+
+
 def test_pipeline_stage_links_five_words_at_four_fifths(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = near_copies(7, 40, 50)
