@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestack import cli, config
 from lodestack.functions import columns as C
+from lodestack.i18n import format_number, t
 from lodestack.operators import assembly, inventory
 from lodestack.plans import analysis, catalogue
 from lodestack.selection import InputSelection
@@ -108,7 +109,8 @@ def test_analysis_and_recomputation(spark, folder, tmp_path):
     assert r.is_blocked and r.decided.first_blocking == "_under.txt" and "(" in r.block_reason
     assert r.files.where("relative_path = 'img.html'").first().status == "too_large"
     r.recompute_limit(300)
-    assert r.is_blocked and r.decided.n_blocking == 0 and "total" in r.block_reason
+    assert r.is_blocked and r.decided.n_blocking == 0
+    assert r.block_reason == t("summary.blocked_total", total=format_number(r.decided.tokens_with_margin), limit=format_number(300))
     r.recompute_limit(10**6).recompute_engine("mistral")
     assert not r.is_blocked and r.engine_id == "approx"
     assert {x.relative_path: x.tokens_with_margin for x in r.files.collect()} == first

@@ -1,4 +1,5 @@
 from lodestack.functions.inputs import dropped_paths, engine_of_label, limit_of, summary_lines
+from lodestack.i18n import format_number, t
 from lodestack.operators.budget import Decision
 
 
@@ -12,7 +13,7 @@ def test_paths_limits_and_labels():
 def test_summaries():
     free = Decision(3, 1, 1, 1, 0, None, None, False, False)
     lines = summary_lines({"ready": 2, "images": 1}, free, 1000)
-    assert len(lines) == 2 and lines[0].startswith("2 fichiers")
+    assert lines == [t("summary.ok", count=2, limit=format_number(1000)), t("summary.images", count=1)]
     blocked = Decision(3, 1, 1, 2000, 1, "a.txt", 1500, True, True)
     assert "a.txt" in summary_lines({"ready": 2}, blocked, 1000)[0] and len(summary_lines({"ready": 2}, blocked, 1000)) == 1
     assert "2" in summary_lines({}, Decision(3, 1, 1, 2000, 0, None, None, True, True), 1000)[0]
