@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, linededup, media, mixing, ngram_join, toxicity, urls, warc
+from . import bpe, decontaminate, langid, licenses, linededup, media, mixing, ngram_join, toxicity, urls, warc
 from .tables import table
 
 
@@ -63,6 +63,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, and the digests of its ids and of what they decode to."""
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.read(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
