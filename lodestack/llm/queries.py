@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licenses, linededup, media, mixing, ngram_join, toxicity, urls, warc
+from . import bpe, decontaminate, langid, licenses, linededup, media, mixing, negatives, ngram_join, quantize, toxicity, urls, warc
 from .tables import table
 
 
@@ -70,9 +70,19 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.read(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every anchor and each of its positives, the rows of other labels that score nearly as high."""
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code and error, by codebooks of all vectors."""
+    return quantize.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.sql(), "op5_warc": warc.sql(), "op6_mixing": mixing.sql(), "op8_ngram_jaccard": ngram_join.sql(), "op10_license_scan": licenses.sql()}
+    return {"op2_line_dedup": linededup.sql(), "op5_warc": warc.sql(), "op6_mixing": mixing.sql(), "op8_ngram_jaccard": ngram_join.sql(), "op10_license_scan": licenses.sql(), "op12_hard_negatives": negatives.sql(), "op13_vector_codes": quantize.sql()}
