@@ -9,7 +9,7 @@ import sys
 from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
-from .constants import CONTEXT_LIMIT, ENGINES, MARGIN, MAX_DEPTH, MIN_CHARS_FILE, MIN_CHARS_PAGE, SPARSE_CHARS, SPARSE_RATIO
+from .constants import CONTEXT_LIMIT, ENGINES, MARGIN, MAX_DEPTH, MIN_CHARS_FILE, MIN_CHARS_PAGE, SPARSE_CHARS, SPARSE_RATIO, UNUSUAL_LIMIT
 
 log = logging.getLogger(__name__)
 FILE_NAME = "lodestack.json"
@@ -44,16 +44,20 @@ class Config:
         return json.dumps(self.to_dict(), indent=2, ensure_ascii=False)
 
     def validate(self) -> list[str]:
-        """What is out of range, in words."""
+        """What is out of range, in words; a context limit over a million is only unusual."""
+        s, most = self.scan, 10_000
         rules = (
-            (self.context_limit > 0, "context_limit must be positive"),
-            (0 <= self.margin <= 1, "margin must be between 0 and 1"),
-            (self.format in ("md", "pdf"), "format must be md or pdf"),
-            (self.sort in ("name", "mtime", "type"), "sort must be name, mtime or type"),
-            (self.max_depth >= 1, "max_depth must be at least 1"),
+            (self.context_limit >= 1, f"context_limit must be 1 at least, not {self.context_limit}"),
+            (self.context_limit <= UNUSUAL_LIMIT, f"context_limit is unusual: {self.context_limit}"),
+            (-1 <= self.margin <= 10, f"margin must be between -1 and 10, not {self.margin}"),
+            (self.format in ("md", "pdf"), f"format must be md or pdf, not {self.format}"),
+            (self.sort in ("name", "mtime", "type"), f"sort must be name, mtime or type, not {self.sort}"),
+            (1 <= self.max_depth <= 100, f"max_depth must be between 1 and 100, not {self.max_depth}"),
             (self.tokenizer_engine in ENGINES, f"tokenizer_engine must be one of {', '.join(ENGINES)}"),
-            (min(self.scan.min_chars_file, self.scan.min_chars_per_page, self.scan.sparse_page_chars) >= 0, "scan thresholds must not be negative"),
-            (0 <= self.scan.sparse_page_ratio <= 1, "sparse_page_ratio must be between 0 and 1"),
+            (0 <= s.min_chars_file <= most, f"scan.min_chars_file must be between 0 and {most}, not {s.min_chars_file}"),
+            (0 <= s.min_chars_per_page <= most, f"scan.min_chars_per_page must be between 0 and {most}, not {s.min_chars_per_page}"),
+            (s.sparse_page_chars >= 0, "scan.sparse_page_chars must not be negative"),
+            (0 <= s.sparse_page_ratio <= 1, f"scan.sparse_page_ratio must be between 0 and 1, not {s.sparse_page_ratio}"),
         )
         return [message for right, message in rules if not right]
 
@@ -71,25 +75,31 @@ def config_paths() -> list[Path]:
     return [program_dir() / FILE_NAME, user_dir() / FILE_NAME]
 
 
+def _coerced(value, like):
+    """``value`` as the type of ``like``: "5000" is 5000 where a number is due; ValueError or TypeError if it can't be."""
+    return [str(x) for x in value] if isinstance(like, list) else type(like)(value)
+
+
 def merged(base: Config, data: dict) -> Config:
-    """``base`` with the known keys of ``data``."""
-    out = Config(**{f.name: data.get(f.name, getattr(base, f.name)) for f in fields(Config) if f.name != "scan"})
+    """``base`` with the known keys of ``data``, each as its own type."""
     scan = data.get("scan")
-    out.scan = ScanConfig(**{f.name: (scan or {}).get(f.name, getattr(base.scan, f.name)) for f in fields(ScanConfig)}) if isinstance(scan, dict) else base.scan
+    take = lambda name, like, given: _coerced(given[name], like) if name in given else like
+    out = Config(**{f.name: take(f.name, getattr(base, f.name), data) for f in fields(Config) if f.name != "scan"})
+    out.scan = ScanConfig(**{f.name: take(f.name, getattr(base.scan, f.name), scan if isinstance(scan, dict) else {}) for f in fields(ScanConfig)})
     return out
 
 
 def load_config(explicit: Path | None = None) -> Config:
-    """The first readable file of: the one named, beside the program, in the user's folder; else defaults."""
-    for path in [Path(explicit)] if explicit else config_paths():
-        if not path.is_file():
-            continue
+    """The first usable file of: the one named, beside the program, in the user's folder; else defaults."""
+    for path in [*([Path(explicit)] if explicit else []), *config_paths()]:
         try:
+            if not path.is_file():
+                continue
             data = json.loads(path.read_text(encoding="utf-8"))
             if not isinstance(data, dict):
                 raise ValueError("not an object")
             config = merged(Config(), data)
-        except (OSError, ValueError, TypeError) as exc:
+        except (OSError, ValueError, TypeError, OverflowError) as exc:
             log.warning("configuration %s is not usable: %s", path, exc)
             continue
         for message in config.validate():

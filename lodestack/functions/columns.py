@@ -53,10 +53,32 @@ def suffix(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(?s)(?<=.)(\.[^.]+)\z", 1))
 
 
+#: Between the texts and the numbers of a key: under every character of a name.
+_MARK = "\u0000"
+
+
 def natural_key(path: Column) -> Column:
-    """Orders file2 before file10: an array of texts in lower case and numbers in turn."""
+    """A text that sorts, byte by byte, file2 before file10: texts in lower case and numbers in turn.
+
+    A number is how many digits its number of digits has, that number, and the digits without
+    leading zeros, so numbers of any length come in the order of their values.
+    """
     parts = F.split(F.regexp_replace(F.lower(path), r"([0-9]+)", "\u0001$1\u0001"), "\u0001")
-    return F.transform(parts, lambda x, i: F.struct(F.when(i % 2 == 0, x).otherwise("").alias("s"), F.when(i % 2 == 1, x).otherwise("0").cast("decimal(38,0)").alias("n")))
+
+    def number(digits: Column) -> Column:
+        bare = F.ltrim(digits, F.lit("0"))
+        size = F.length(bare).cast("string")
+        return F.concat(F.length(size).cast("string"), size, bare)
+
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, number(x)).otherwise(x)), _MARK)
+
+
+def casefold(name: Column) -> Column:
+    """Equal for names that differ in case alone, as Python's ``str.casefold`` tells it: straße.txt and STRASSE.TXT."""
+    # Upper case unites what has two lower forms; a dotless i is a letter of its own.  The translation
+    # between keeps Spark from taking the lower case of an upper case for a mere lower case.
+    up = F.translate(F.upper(F.translate(name, "\u1e9e\u0131", "\u00df\uf131")), "\uf131", "\u0131")
+    return F.translate(F.lower(up), "\u03c2", "\u03c3")
 
 
 def approx_tokens(bytes_utf8: Column) -> Column:

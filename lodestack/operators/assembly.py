@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import textwrap
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import datetime
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import __version__
 from ..constants import ERROR, EXTRACTED, VERBATIM_TYPES
 from ..functions import columns as C
+from ..held import released
 from ..i18n import format_number, t
+from .prefix import running_sums
+
+#: Places (two numbers each) up to which they are broadcast.
+FEW_PLACES = 400_000
 
 
 def corpus_blocks(files: DataFrame, verbatim=VERBATIM_TYPES, end: str = "\n") -> DataFrame:
@@ -38,19 +46,50 @@ def preamble(result, now: datetime, end: str = "\n") -> str:
     return end.join(lines)
 
 
-def stream(blocks: DataFrame) -> Iterator[str]:
-    """Blocks in order, a partition at a time: the driver never holds the corpus."""
-    for row in blocks.orderBy("ord").select("block").toLocalIterator():
-        yield row["block"]
+def write_ordered(blocks: DataFrame, path: Path, head: bytes, before: bytes) -> int:
+    """``head``, then each block (ord, block) with ``before`` in front of it, in one file that the executors write; its size.
+
+    Sums of the blocks' bytes give each block its place, so every task writes where its blocks
+    belong, in any order; a repeated task writes the same bytes again.  The file is on a file
+    system that driver and executors share, and gets its name when it is whole.
+    """
+    size = (F.octet_length("block") + len(before)).cast("long")
+    places = running_sums(blocks.select("ord", size.alias("size")), [F.col("ord")], F.col("size"), "place").select("ord", "place", "size")
+    total = len(head) + (places.agg(F.sum("size")).first()[0] or 0)
+    if places.count() <= FEW_PLACES:
+        places = F.broadcast(places)
+    target, start = f"{path}.{uuid.uuid4().hex}.part", len(head)
+    with open(target, "wb") as f:
+        f.write(head)
+        f.truncate(total)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(target, "r+b") as f:
+            written = 0
+            for batch in batches:
+                for place, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    f.seek(start + place)
+                    written += f.write(before + block.as_py().encode())
+            f.flush()
+            os.fsync(f.fileno())
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["written"])
+
+    try:
+        written = blocks.join(places, "ord").select("place", "block").mapInArrow(work, "written long").agg(F.sum("written")).first()[0] or 0
+        if start + written != total:
+            raise OSError(f"{start + written} of {total} bytes were written to {path}")
+        os.replace(target, path)
+    finally:
+        if os.path.exists(target):
+            os.unlink(target)
+    return total
 
 
 def write_markdown(result, path: Path, line_ending: str = "lf", now: datetime | None = None, verbatim=VERBATIM_TYPES) -> None:
     """Line ends of our own are LF or CRLF; those inside headers and texts stay as they are."""
     end = "\r\n" if line_ending == "crlf" else "\n"
-    with open(path, "wb") as f:
-        f.write(preamble(result, now or datetime.now(), end).encode())
-        for block in stream(corpus_blocks(result.files, verbatim, end)):
-            f.write(f"{end}{block}".encode())
+    with released():
+        write_ordered(corpus_blocks(result.files, verbatim, end), Path(path), preamble(result, now or datetime.now(), end).encode(), end.encode())
 
 
 def write_distributed(result, folder: str, verbatim=VERBATIM_TYPES) -> None:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..constants import CONTEXT_LIMIT, MARGIN, TOO_LARGE
 from ..functions import columns as C
@@ -61,6 +62,40 @@ def decision(estimated: DataFrame, limit: int = CONTEXT_LIMIT, margin: float = M
     )
 
 
+def profile(estimated: DataFrame) -> DataFrame:
+    """base_status, tokens_with_margin, n, sums and the first file of each: all that statuses, totals and decisions ask for, in one pass.
+
+    A row for each number of tokens that occurs: a histogram with exact edges.
+    """
+    first = F.min(F.struct("ord", "relative_path", "tokens_with_margin")).alias("first")
+    sums = [F.sum(c).alias(c) for c in ("bytes_utf8", "tokens_estimated")]
+    return estimated.groupBy("base_status", F.col("tokens_with_margin").alias("tokens")).agg(F.count(F.lit(1)).alias("n"), *sums, first)
+
+
+def decisions(profile: DataFrame, limits: list[int], margin: float = MARGIN, precise: bool = False) -> DataFrame:
+    """A row as of ``decision`` for each limit, with ``context_limit``, from a ``profile``: no file is looked at again.
+
+    Rows of the profile fall between two limits; what stands above a limit is then a running
+    sum over the limits, of which there are as many as were asked for.
+    """
+    marks = sorted(set(limits))
+    live = profile.where(C.is_extracted(F.col("base_status")))
+    above = F.size(F.filter(F.array(*(F.lit(m).cast("long") for m in marks)), lambda m: m < F.col("tokens")))
+    per = live.groupBy(above.alias("_i")).agg(F.sum("n").alias("_n"), F.min("first").alias("_first")).where("_i > 0")
+    asked = profile.sparkSession.createDataFrame([(i + 1, m) for i, m in enumerate(marks)], "_i int, context_limit long").join(F.broadcast(per), "_i", "left")
+    down = Window.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = asked.select("context_limit", F.coalesce(F.sum("_n").over(down), F.lit(0)).alias("n_blocking"), F.min("_first").over(down).alias("_first"))
+    totals = profile.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("n", "n_files"), ("bytes_utf8", "bytes_utf8"), ("tokens_estimated", "_t"))))
+    totals = totals.withColumn("tokens_estimated", (F.col("_t") if precise else C.approx_tokens(F.col("bytes_utf8"))).cast("long"))
+    totals = totals.withColumn("tokens_with_margin", C.with_margin(F.col("tokens_estimated"), margin))
+    rows = asked.join(F.broadcast(totals))  # one row
+    total_over = F.col("tokens_with_margin") > F.col("context_limit")
+    return rows.select(
+        "context_limit", "n_files", "bytes_utf8", "tokens_estimated", "tokens_with_margin", "n_blocking", F.col("_first.relative_path").alias("first_blocking"), F.col("_first.tokens_with_margin").alias("first_tokens"),
+        total_over.alias("total_over"), ((F.col("n_blocking") > 0) | total_over).alias("is_blocked"),
+    )
+
+
 @dataclass(frozen=True)
 class Decision:
     n_files: int
@@ -74,20 +109,30 @@ class Decision:
     is_blocked: bool
 
 
+#: Names of blocking files that a message lists; ``blocking_files`` is the table of all.
+NAMES_TOLD = 100
+
+
 def block_reason(decided: Decision, limit: int, names: list[str]) -> str | None:
-    """In words: the first blocking file (and the names of all, if several), else the total."""
+    """In words: the first blocking file (and the names of the first ones, if several), else the total."""
     if decided.n_blocking:
         text = t("summary.blocked_file", file=decided.first_blocking, tokens=format_number(decided.first_tokens), limit=format_number(limit))
-        return text + (f" ({', '.join(names)})" if len(names) > 1 else "")
+        more = f", … (+{decided.n_blocking - len(names)})" if decided.n_blocking > len(names) else ""
+        return text + (f" ({', '.join(names)}{more})" if len(names) > 1 else "")
     if decided.total_over:
         return t("summary.blocked_total", total=format_number(decided.tokens_with_margin), limit=format_number(limit))
     return None
 
 
-def blocking_names(estimated: DataFrame, limit: int) -> list[str]:
-    """Labels of the files over the limit, in order; at most total / limit of them can be."""
-    rows = blocked(estimated.select("ord", "relative_path", "base_status", "tokens_with_margin"), limit).where(F.col("status") == TOO_LARGE)
-    return [r["relative_path"] for r in rows.orderBy("ord").select("relative_path").collect()]
+def blocking_files(estimated: DataFrame, limit: int) -> DataFrame:
+    """ord, relative_path, tokens_with_margin of all files over the limit."""
+    rows = blocked(estimated.select("ord", "relative_path", "base_status", "tokens_with_margin"), limit)
+    return rows.where(F.col("status") == TOO_LARGE).select("ord", "relative_path", "tokens_with_margin")
+
+
+def blocking_names(estimated: DataFrame, limit: int, most: int = NAMES_TOLD) -> list[str]:
+    """Labels of the first files over the limit, in order."""
+    return [r["relative_path"] for r in blocking_files(estimated, limit).orderBy("ord").limit(most).collect()]
 
 
 def status_counts(files: DataFrame) -> DataFrame:

@@ -1,58 +1,114 @@
-"""Reads the inventory's files in Python workers: one bad file is one error row."""
+"""Reads the inventory's files: one bad file is one error row."""
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ERROR, LARGE_FILE
+from ..constants import ERROR, FORMATS, LARGE_FILE
+from ..functions.decoding import decoded
 from ..i18n import language, set_language
 from ..schema import EXTRACTED
 from ..shipping import ship
-from ..sources.readers import safe_read
+from ..sources.readers import registry, safe_read
+from ..streaming.progress import Address, reporter
+from .prefix import packed, ranges
 
 log = logging.getLogger(__name__)
 COLUMNS = [c.split()[0] for c in EXTRACTED.replace("map<string,string>", "map").split(", ")]
-#: Bytes of the files that one task should read.
-TASK_BYTES = 32 << 20
+#: Extensions whose text is the file's bytes as they are.
+AS_IS = tuple(e for e, kind in FORMATS.items() if kind in ("text", "markdown", "plain"))
 
 
-def read_one(path: str, relative_path: str, ext: str, size: int, ord: int) -> tuple:
-    from ..sources.readers.registry import failed
-
+def row_of(path: str, relative_path: str, ext: str, size: int, ord: int, raw: bytes | OSError) -> tuple:
+    """A row of ``extracted`` from a file's bytes, or from what kept them from being read."""
     if size > LARGE_FILE:
         log.info("large file: %s", path)
-    try:
-        with open(path, "rb") as f:
-            raw = f.read()
-        size, found = len(raw), safe_read(raw, ext)
-    except OSError as exc:
-        found = failed(exc)
+    found = registry.failed(raw) if isinstance(raw, OSError) else safe_read(raw, ext)
+    size = size if isinstance(raw, OSError) else len(raw)
     kind = found.file_type or ext.lstrip(".")
     status = found.status if found.status != "ready" else None
     return (path, relative_path, ext.lstrip("."), kind, size, found.text, status, found.error_message, found.image_count, found.page_count, found.encoding, found.chars_per_page, None, ord)
 
 
-def extract(inventory: DataFrame) -> DataFrame:
-    """The table ``extracted``; extract_status is null where the text was read."""
-    lang = language()
+def read_one(path: str, relative_path: str, ext: str, size: int, ord: int) -> tuple:
+    try:
+        with open(path, "rb") as f:
+            raw: bytes | OSError = f.read()
+    except OSError as exc:
+        raw = exc
+    return row_of(path, relative_path, ext, size, ord, raw)
+
+
+def extract(inventory: DataFrame, done: Address | None = None, status: Callable[[tuple], str] | None = None) -> DataFrame:
+    """The table ``extracted``; extract_status is null where the text was read.
+
+    Files are dealt out by their sizes, in order.  ``done`` is told of each file as it has
+    been read, with what ``status`` makes of its row.
+    """
+    lang, readers = language(), registry.snapshot()
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        set_language(lang)
+        registry.install(readers)
+        with reporter(done) as tell:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    # A frame per file: texts can be megabytes each.
+                    found = read_one(row.path, row.relative_path, row.ext, row.size_bytes, row.ord)
+                    tell(row.path, status(found) if status else "")
+                    yield pd.DataFrame([found], columns=COLUMNS)
+
+    ship(inventory.sparkSession)
+    narrow = inventory.select("path", "relative_path", "ext", "size_bytes", "ord")
+    return packed(narrow, "size_bytes", [F.col("ord"), F.col("path")]).mapInPandas(work, EXTRACTED)
+
+
+def extract_bytes(files: DataFrame) -> DataFrame:
+    """``extracted`` from rows that bring their bytes: path, relative_path, ext, size_bytes, ord, raw.
+
+    Text formats are decoded by expressions; the others, and the few texts that these leave
+    open, go to their readers.  A reader registered in place of the text reader is used for all.
+    """
+    lang, readers = language(), registry.snapshot()
+    own = [e for e in AS_IS if readers.get(e) and readers[e][0][2].__module__ == "lodestack.sources.readers.plain"]
+    plain = F.col("ext").isin(*own)
+    ext = F.regexp_replace("ext", "^\\.", "")
+    texts = decoded(files.where(plain).withColumn("size_bytes", F.octet_length(F.coalesce("raw", F.lit(b""))).cast("long")))
+    none = lambda kind: F.lit(None).cast(kind)
+    texts = texts.select(
+        "path", "relative_path", ext.alias("extension"), ext.alias("file_type"), "size_bytes", "text", none("string").alias("extract_status"), none("string").alias("error_message"),
+        F.lit(0).alias("image_count"), F.lit(0).alias("page_count"), "encoding", F.array().cast("array<int>").alias("chars_per_page"), none("map<string,string>").alias("extra_metadata"), "ord",
+    )
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         set_language(lang)
+        registry.install(readers)
         for batch in batches:
             for row in batch.itertuples(index=False):
-                # A frame per file: texts can be megabytes each.
-                yield pd.DataFrame([read_one(row.path, row.relative_path, row.ext, row.size_bytes, row.ord)], columns=COLUMNS)
+                yield pd.DataFrame([row_of(row.path, row.relative_path, row.ext, row.size_bytes, row.ord, bytes(row.raw or b""))], columns=COLUMNS)
 
-    ship(inventory.sparkSession)
-    total = inventory.agg(F.sum("size_bytes")).first()[0] or 0
-    cores = inventory.sparkSession.sparkContext.defaultParallelism
-    spread = inventory.repartition(max(cores, total // TASK_BYTES), F.xxhash64("path"))
-    return spread.select("path", "relative_path", "ext", "size_bytes", "ord").mapInPandas(work, EXTRACTED)
+    ship(files.sparkSession)
+    others = files.where(~plain).select("path", "relative_path", "ext", "size_bytes", "ord", "raw").mapInPandas(work, EXTRACTED)
+    return texts.unionByName(others)
+
+
+def read_ranges(inventory: DataFrame, target: int) -> DataFrame:
+    """path, part, offset, raw: the files' bytes in ranges of ``target`` at most, dealt out so that no task reads more than twice that."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                with open(row.path, "rb") as f:
+                    f.seek(row.offset)
+                    yield pd.DataFrame({"path": [row.path], "part": [row.part], "offset": [row.offset], "raw": [f.read(row.length)]})
+
+    rows = ranges(inventory.select("path", "size_bytes"), "size_bytes", target)
+    return packed(rows, "length", [F.col("path"), F.col("part")], target).mapInPandas(work, "path string, part int, offset long, raw binary")
 
 
 def is_failed(status: str = "extract_status"):

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from ..constants import EXTENSIONS, MAX_DEPTH
 from ..functions import columns as C
+from ..held import keep
+from ..scratch import Scratch, checkpointed
 from ..selection import InputSelection, path_key
 from ..sources import folders
 
@@ -19,20 +21,20 @@ ENTRY = "path string, name string, ext string, size_bytes long, mtime double, re
 
 
 def candidates(spark: SparkSession, selection: InputSelection, recursive: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All files of all sources: source_idx, path, name, preferred (label), size_bytes, mtime, key."""
+    """All files of all sources, by name alone: source_idx, path, name, preferred (label), key."""
     many = len(selection.paths) > 1
     parts = []
     for i, source in enumerate(selection.paths):
         if source.is_dir():
-            rows = folders.list_folder(spark, str(source), recursive, max_depth)
+            rows = folders.list_names(spark, str(source), recursive, max_depth)
             preferred = F.concat(F.lit(f"{source.name}/"), F.col("relative")) if many else F.col("relative")
         elif source.is_file():
-            rows, preferred = folders.list_files(spark, [str(source)]), F.col("name")
+            rows, preferred = spark.createDataFrame([(str(source), source.name)], "path string, name string"), F.col("name")
         else:
             continue
-        parts.append(rows.select(F.lit(i).alias("source_idx"), "path", "name", preferred.alias("preferred"), "size_bytes", "mtime"))
+        parts.append(rows.select(F.lit(i).alias("source_idx"), "path", "name", preferred.alias("preferred")))
     if not parts:
-        return spark.createDataFrame([], "source_idx int, path string, name string, preferred string, size_bytes long, mtime double, key string")
+        return spark.createDataFrame([], "source_idx int, path string, name string, preferred string, key string")
     here = os.getcwd()
     absolute = F.when(F.startswith("path", F.lit("/")), F.col("path")).otherwise(F.concat(F.lit(f"{here}/"), F.col("path")))
     return reduce(DataFrame.unionByName, parts).withColumn("key", absolute)
@@ -63,7 +65,7 @@ def ordinals(df: DataFrame, order: list[Column]) -> DataFrame:
     A range-partitioned sort numbers rows within partitions; the partitions' sizes, one
     number each, are summed up on the driver.
     """
-    placed = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).persist()
+    placed = keep(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
     sizes = {r["p"]: r["n"] for r in placed.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, total = [], 0
     for p in range(max(sizes, default=-1) + 1):
@@ -90,21 +92,40 @@ def unique_labels(rows: list[tuple[str, str]], taken: set[str]) -> dict[str, str
     return out
 
 
+def _numbers(claims: DataFrame, settled: DataFrame) -> DataFrame:
+    """``claims`` of files that have run out of path ends, with ``number``: of a base's files in order, the first takes
+    the first number from 2 on that no settled label has, the next the next, and so on.
+
+    Numbers that settled labels have are gaps: the i-th free number is i + 1 plus the gaps b_j, in order, with b_j - j
+    up to i.  Files and gaps are put in one order per base and the gaps counted as they go by: a sort, nothing gathered.
+    """
+    per = Window.partitionBy("base")
+    files = claims.withColumn("key", F.row_number().over(per.orderBy("ord")).cast("long")).withColumn("gap", F.lit(0))
+    form = r"(?s)\A(.*) \(([2-9]|[1-9][0-9]{1,15})\)\z"
+    taken = settled.where(F.col("_f").rlike(form)).select(F.regexp_extract("_f", form, 1).alias("base"), F.regexp_extract("_f", form, 2).cast("long").alias("n"))
+    taken = taken.join(claims.select("base").distinct(), "base", "left_semi").distinct()
+    gaps = taken.select("base", (F.col("n") - F.row_number().over(per.orderBy("n"))).alias("key"), F.lit(1).alias("gap"))
+    passed = F.sum("gap").over(per.orderBy("key", F.desc("gap")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = files.unionByName(gaps, allowMissingColumns=True).withColumn("passed", passed).where("gap = 0")
+    return rows.withColumn("number", F.col("key") + 1 + F.col("passed")).drop("key", "gap", "passed")
+
+
 def labelled(kept: DataFrame) -> DataFrame:
     """relative_path for each file, as ``unique_labels`` gives it to the colliding ones, by joins alone.
 
     All files without a label claim their next choice at once and the first in order
     gets it; one that comes earlier takes it from one that comes later, which goes on to
     its next.  This ends with the labels that the files would take one after the other.
-    Paths that differ in case alone need a round for each number.
+    Files that have run out of path ends claim the number that is theirs by rank (a lower one
+    would be refused them), so that rounds follow the depth of paths, not the number of files.
     """
-    folded = kept.select("path", "preferred", "source_idx", F.lower("preferred").alias("_f"))
+    folded = kept.select("path", "preferred", "source_idx", C.casefold(F.col("preferred")).alias("_f"))
     clash = folded.groupBy("_f").count().where("count > 1").select("_f")
     if not clash.limit(1).count():
         return kept.withColumnRenamed("preferred", "relative_path")
     order = [F.col("source_idx"), C.natural_key(F.col("preferred")), F.col("path")]
     # Repeated rows of one path take one label, the last one's.
-    rows = ordinals(folded.join(clash, "_f").select("path", "preferred", "source_idx"), order).select("path", "preferred", "ord")
+    placed = ordinals(folded.join(clash, "_f").select("path", "preferred", "source_idx"), order)
     parts = F.filter(F.split("path", "/"), lambda x: (x != "") & (x != "."))
     depth = F.size("parts")
     rooted = F.startswith("path", F.lit("/"))
@@ -113,27 +134,39 @@ def labelled(kept: DataFrame) -> DataFrame:
     # Choices: 0 is the preferred label, then ends of two parts and more, then numbers from 2 on.
     last = F.when(rooted, depth).otherwise(F.greatest(depth - 1, F.lit(0)))
     end = F.when(F.col("choice") == 0, F.col("preferred")).when(F.col("choice") == last, whole).otherwise(joined(F.col("choice") + 1))
-    numbered = F.concat(F.when(last == 0, F.col("preferred")).otherwise(whole), F.lit(" ("), (F.col("choice") - last + 1).cast("string"), F.lit(")"))
-    label = F.when(F.col("choice") <= last, end).otherwise(numbered)
-    settled = folded.join(clash, "_f", "left_anti").select("_f")
-    now, before = rows.select("path", "preferred", "ord", parts.alias("parts"), F.lit(0).alias("choice")), None
-    while True:
-        claims = now.withColumn("label", label).withColumn("_f", F.lower("label"))
-        best = claims.groupBy("_f").agg(F.min("ord").alias("_first"))
-        fixed = settled.withColumn("_fixed", F.lit(True))
-        judged = claims.join(best, "_f").join(fixed, "_f", "left").withColumn("lost", F.col("_fixed").isNotNull() | (F.col("ord") > F.col("_first")))
-        judged = judged.select("path", "preferred", "ord", "parts", "choice", "label", "lost").persist()
-        lost = judged.where("lost").count()
-        if before is not None:
-            before.unpersist()
-        if not lost:
-            break
-        before = judged
-        now = judged.withColumn("choice", F.col("choice") + F.col("lost").cast("int")).drop("label", "lost")
-    table = judged.groupBy("path").agg(F.max_by("label", "ord").alias("_label"))
+    with Scratch(kept.sparkSession) as scratch:
+        # Each round is written: plans that hold the rounds before them would double with every round.
+        settled = scratch.save(folded.join(clash, "_f", "left_anti").select("_f"), "settled")
+        now = placed.select("path", "preferred", "ord", parts.alias("parts"), F.lit(0).cast("long").alias("choice"))
+        step, lost = 0, 1
+        while lost:
+            now = scratch.save(now, f"now-{step}")
+            claims = now.where(F.col("choice") <= last).withColumn("label", end)
+            spent = now.where(F.col("choice") > last).withColumn("name", F.when(last == 0, F.col("preferred")).otherwise(whole))
+            if spent.limit(1).count():
+                numbered = _numbers(spent.withColumn("base", C.casefold(F.col("name"))), settled)
+                numbered = numbered.withColumn("choice", F.greatest("choice", last + F.col("number") - 1))
+                numbered = numbered.withColumn("label", F.concat("name", F.lit(" ("), (F.col("choice") - last + 1).cast("string"), F.lit(")")))
+                claims = claims.unionByName(numbered.select(*claims.columns))
+            claims = scratch.save(claims.withColumn("_f", C.casefold(F.col("label"))), f"claims-{step}")
+            best = claims.groupBy("_f").agg(F.min("ord").alias("_first"))
+            judged = claims.join(best, "_f").join(settled.withColumn("_fixed", F.lit(True)), "_f", "left").withColumn("lost", F.col("_fixed").isNotNull() | (F.col("ord") > F.col("_first")))
+            judged = scratch.save(judged.select("path", "preferred", "ord", "parts", "choice", "label", "lost"), f"judged-{step}")
+            lost = judged.where("lost").limit(1).count()
+            now = judged.withColumn("choice", F.col("choice") + F.col("lost").cast("int")).drop("label", "lost")
+            step += 1
+        table = checkpointed(judged.groupBy("path").agg(F.max_by("label", "ord").alias("_label")))
     return kept.join(table, "path", "left").withColumn("relative_path", F.coalesce("_label", "preferred")).drop("_label", "preferred")
 
 
+def collect_store(spark: SparkSession, url: str, recursive=True, exclude=(), extensions=EXTENSIONS, sort="name", max_depth=MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """``collect_inputs`` for one folder of a store that only Spark reads."""
+    found = folders.list_store(spark, url, recursive, max_depth).withColumnRenamed("relative", "relative_path").drop("depth")
+    kept, out = split(found, tuple(e.lower() for e in extensions), tuple(exclude))
+    inventory = ordinals(kept, sort_order(sort))
+    return inventory.select("path", "name", "ext", "size_bytes", "mtime", "relative_path", "ord"), out.select("path", "name", "reason_code", C.reason_text(F.col("reason_code"), F.col("ext")).alias("reason"))
+
+
 def collect_inputs(spark: SparkSession, selection, recursive=True, exclude=(), extensions=EXTENSIONS, sort="name", max_depth=MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
     """(inventory in order, left out: path, name, reason_code, reason)."""
     selection = InputSelection.of(selection)
@@ -146,5 +179,6 @@ def collect_inputs(spark: SparkSession, selection, recursive=True, exclude=(), e
         out = out.unionByName(removed.select("source_idx", "path", "name", "ext", "reason_code", "key"))
         kept = kept.join(F.broadcast(gone), "key", "left_anti")
     out = first_wins(out, "key", [F.col("reason_code") == "removed", F.col("source_idx"), F.col("path")])
-    inventory = ordinals(labelled(kept), sort_order(sort))
+    # Only files that are read are asked for size and time.
+    inventory = ordinals(labelled(folders.with_stat(kept)), sort_order(sort))
     return inventory.select("path", "name", "ext", "size_bytes", "mtime", "relative_path", "ord"), out.select("path", "name", "reason_code", C.reason_text(F.col("reason_code"), F.col("ext")).alias("reason"))

@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from ..constants import EXTENSIONS, IMAGE_EXTENSIONS, SPECIAL_FILES, TOO_LARGE
 from ..functions import columns as C
-from ..operators import assembly, budget, inventory
+from ..functions import decoding
+from ..operators import assembly, budget, inventory, prefix
+from ..sources import folders
 from ..sources.tables import as_mixed_files, as_text_files, conversation_pages, read
 from . import formats
 
@@ -168,11 +170,16 @@ def status_severity(spark, sf):
 
 @query(_estimated(_TXT) + f", s AS (SELECT l AS context_limit, count(*) FILTER (tokens_with_margin > l) AS n_blocking, sum(bytes_utf8)::BIGINT AS b FROM est, (VALUES (8000), (128000), (1000000)) v(l) GROUP BY 1) SELECT context_limit, n_blocking, n_blocking > 0 OR {_m(_n('b'))} > context_limit AS is_blocked, CASE WHEN {_m(_n('b'))} >= context_limit THEN 'red' WHEN {_m(_n('b'))}::DOUBLE / context_limit >= 0.8 THEN 'orange' ELSE 'green' END AS gauge FROM s")
 def recompute_limit(spark, sf):
-    files, out = _txt(spark, sf), None
-    for limit in (8000, 128_000, 1_000_000):
-        row = budget.decision(files, limit).select(F.lit(limit).alias("context_limit"), "n_blocking", "is_blocked", C.gauge(F.col("tokens_with_margin"), limit).alias("gauge"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """One scan, whatever the number of limits."""
+    rows = budget.decisions(budget.profile(_txt(spark, sf)), [8000, 128_000, 1_000_000])
+    share = F.col("tokens_with_margin") / F.col("context_limit").cast("double")
+    return rows.select(F.col("context_limit").cast("int").alias("context_limit"), "n_blocking", "is_blocked", F.when(share >= 1, "red").when(share >= 0.8, "orange").otherwise("green").alias("gauge"))
+
+
+@query(_estimated(_TXT) + f", s AS (SELECT l AS context_limit, count(*) FILTER (tokens_with_margin > l) AS n_blocking, arg_min(relative_path, ord) FILTER (tokens_with_margin > l) AS first_blocking, sum(bytes_utf8)::BIGINT AS b FROM est, (SELECT unnest(range(500, 20500, 100)) AS l) GROUP BY 1) SELECT context_limit, n_blocking, first_blocking, n_blocking > 0 OR {_m(_n('b'))} > context_limit AS is_blocked FROM s")
+def limit_sweep(spark, sf):
+    """What two hundred limits would each decide, from one pass over the files."""
+    return budget.decisions(budget.profile(_txt(spark, sf)), list(range(500, 20_500, 100))).select("context_limit", "n_blocking", "first_blocking", "is_blocked")
 
 
 @query(_estimated(_TXT) + f", s AS (SELECT count(*) AS n_files, sum(bytes_utf8)::BIGINT AS bytes_utf8 FROM est WHERE ord NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT n_files, bytes_utf8, {_n('bytes_utf8')} AS tokens_estimated, {_m(_n('bytes_utf8'))} AS tokens_with_margin FROM s")
@@ -245,6 +252,17 @@ def sort_type_rank(spark, sf):
     return inventory.ordinals(f, inventory.sort_order("type")).select("doc_id", "ord")
 
 
+_DIGITS = "repeat('9', (30 + doc_id % 3 * 200)::INTEGER) || doc_id"
+
+
+@query(f"SELECT doc_id, (row_number() OVER (ORDER BY doc_id % 7, length(n), n) - 1)::BIGINT AS ord FROM (SELECT doc_id, {_DIGITS} AS n FROM documents)")
+def natural_sort_long_numbers(spark, sf):
+    """Names with numbers of up to hundreds of digits."""
+    digits = F.concat(F.repeat(F.lit("9"), (30 + F.col("doc_id") % 3 * 200).cast("int")), F.col("doc_id").cast("string"))
+    path = F.concat(F.lit("F"), (F.col("doc_id") % 7).cast("string"), F.lit("x00"), digits)
+    return inventory.ordinals(read(spark, sf, "documents").select("doc_id", path.alias("path"), path.alias("relative_path")), inventory.sort_order("name")).select("doc_id", "ord")
+
+
 @query("SELECT event_id, (row_number() OVER (ORDER BY ts DESC, event_id::VARCHAR) - 1)::BIGINT AS ord FROM events")
 def sort_mtime_rank(spark, sf):
     f = read(spark, sf, "events").select("event_id", F.col("ts").alias("mtime"), F.col("event_id").cast("string").alias("path"))
@@ -281,6 +299,45 @@ def unique_labels(spark, sf):
     return inventory.labelled(p).select("path", "relative_path")
 
 
+@query("""SELECT '/a/' || page_id || '/Straße ' || page_id || '.txt' AS path, 'Straße ' || page_id || '.txt' AS relative_path FROM pages
+UNION ALL SELECT '/b/' || page_id || '/STRASSE ' || page_id || '.TXT', page_id || '/STRASSE ' || page_id || '.TXT' FROM pages""")
+def casefold_labels(spark, sf):
+    """Two files for each page whose names differ in case alone, as case folding tells it."""
+    id, rows = F.col("page_id").cast("string"), None
+    for i, (folder, stem, end) in enumerate((("/a/", "Straße ", ".txt"), ("/b/", "STRASSE ", ".TXT"))):
+        name = F.concat(F.lit(stem), id, F.lit(end))
+        part = read(spark, sf, "pages").select(F.lit(i).alias("source_idx"), F.concat(F.lit(folder), id, F.lit("/"), name).alias("path"), name.alias("preferred"))
+        rows = part if rows is None else rows.unionByName(part)
+    return inventory.labelled(rows).select("path", "relative_path")
+
+
+@query("""SELECT path, path || CASE WHEN r > 1 THEN ' (' || r || ')' ELSE '' END AS relative_path FROM (SELECT path, row_number() OVER (ORDER BY path) AS r FROM
+(SELECT array_to_string(list_transform(range(24), lambda i: chr(((CASE WHEN (page_id >> i) & 1 = 1 THEN 65 ELSE 97 END) + i)::INTEGER)), '') AS path FROM pages))""")
+def numbered_labels(spark, sf):
+    """Files of one name, each in another case: all but the first need a number."""
+    letter = lambda i: F.char(F.when(F.getbit("page_id", i) == 1, 65).otherwise(97) + i)
+    name = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(23)), letter), "")
+    return inventory.labelled(read(spark, sf, "pages").select(F.lit(0).alias("source_idx"), name.alias("path"), name.alias("preferred"))).select("path", "relative_path")
+
+
+@query("""SELECT (before // 65536)::INTEGER AS task, count(*) AS files, sum(size)::BIGINT AS bytes FROM
+(SELECT size, sum(size) OVER (ORDER BY doc_id) - size AS before FROM (SELECT doc_id, greatest(strlen(coalesce(text, '')), 1) AS size FROM documents)) GROUP BY 1""")
+def task_packing(spark, sf):
+    """Which task reads which file: cuts of the running sum of sizes."""
+    f = as_text_files(read(spark, sf, "documents")).select("ord", F.greatest("size_bytes", F.lit(1).cast("long")).alias("size"))
+    rows = prefix.running_sums(f, [F.col("ord")], F.col("size"))
+    return rows.groupBy(F.floor(F.col("before") / 65536).cast("int").alias("task")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+@query(f"SELECT source || '/' || doc_id % 5 || '/' || name AS relative, 2 AS depth, size_bytes::BIGINT AS size_bytes FROM {_MIXED.replace('SELECT doc_id AS ord,', 'SELECT doc_id, doc_id AS ord,', 1)}")
+def folder_listing(spark, sf):
+    """A folder tree made of all documents, listed: a folder for each source, five in each."""
+    f = as_mixed_files(read(spark, sf, "documents"))
+    relative = F.concat_ws("/", "source", (F.col("ord") % 5).cast("string"), "name")
+    root = folders.write_tree(f.select(relative.alias("relative"), F.col("text").cast("binary").alias("raw")))
+    return folders.list_folder(spark, root).select("relative", "depth", "size_bytes")
+
+
 # --- corpus and reports ---
 
 _TICKED = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a ' || repeat('`', (doc_id % 7)::INTEGER) || ' b' || coalesce(text, '') ELSE coalesce(text, '') END AS text FROM documents)"
@@ -302,6 +359,13 @@ def corpus_blocks(spark, sf):
     return assembly.corpus_blocks(budget.blocked(_mixed(spark, sf)))
 
 
+@query(_estimated(_MIXED) + f", b AS (SELECT ord, strlen({_BLOCK}) AS size FROM est WHERE base_status <> 'ignored' AND tokens_with_margin <= 128000) SELECT ord, size::BIGINT AS size, (sum(size) OVER (ORDER BY ord) - size)::BIGINT AS place FROM b")
+def corpus_places(spark, sf):
+    """Where each block stands in the one file of the corpus."""
+    sizes = corpus_blocks(spark, sf).select("ord", F.octet_length("block").cast("long").alias("size"))
+    return prefix.running_sums(sizes, [F.col("ord")], F.col("size"), "place").select("ord", "size", "place")
+
+
 @query(_estimated(_MIXED) + " SELECT lang, count(*) AS n_files, sum(tokens_with_margin)::BIGINT AS tokens, sum(strlen(text))::BIGINT AS bytes FROM est WHERE base_status <> 'ignored' GROUP BY 1")
 def corpus_by_lang(spark, sf):
     return _mixed(spark, sf).where(C.is_extracted(F.col("base_status"))).groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"), F.sum("tokens_with_margin").alias("tokens"), F.sum("size_bytes").alias("bytes"))
@@ -369,11 +433,21 @@ def xml_pretty(spark, sf):
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 1 THEN 'utf-16' WHEN doc_id % 3 = 2 THEN 'utf-8-sig' ELSE 'utf-8' END AS encoding, coalesce(text, '') AS text FROM documents")
 def encoding_detect(spark, sf):
+    """Texts in three encodings, told and decoded by expressions."""
     text = F.coalesce("text", F.lit(""))
     kind = F.col("doc_id") % 3
     raw = F.when(kind == 1, F.encode(text, "UTF-16")).when(kind == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
     raw = F.when((kind == 1) & (text == ""), F.unhex(F.lit("FEFF"))).otherwise(raw)
-    return _read_column(read(spark, sf, "documents"), "doc_id", raw, ".txt").select("id", "encoding", "text")
+    return decoding.decoded(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), raw.alias("raw")))
+
+
+@query(r"""SELECT doc_id AS id, CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 'cp1252' ELSE 'utf-8' END AS encoding, text FROM
+(SELECT doc_id, '€' || regexp_replace(coalesce(text, ''), '[^\x00-\x7F\xA0-\xBF]', 'é', 'g') || '”' AS text FROM documents)""")
+def encoding_cp1252(spark, sf):
+    """Texts in Windows-1252, with signs that Latin-1 does not have."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F\xA0-\xBF]", "é")
+    raw = F.concat(F.unhex(F.lit("80")), F.encode(text, "ISO-8859-1"), F.unhex(F.lit("94")))
+    return decoding.decoded(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), raw.alias("raw")))
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'error' ELSE 'ready' END AS status FROM documents")

@@ -33,9 +33,12 @@ def read_back(df: DataFrame, id: str, extension: str, build: Callable[..., bytes
     import pandas as pd
 
     from ..shipping import ship
-    from ..sources.readers import safe_read
+    from ..sources.readers import registry, safe_read
+
+    readers = registry.snapshot()
 
     def work(batches):
+        registry.install(readers)
         for b in batches:
             rows = zip(*(b[c] for c in columns), strict=True)
             found = [safe_read(bytes(r[0]) if build is None else build(*r), extension) for r in rows]

@@ -62,6 +62,20 @@ def supported_extensions() -> list[str]:
     return sorted(_readers)
 
 
+def snapshot() -> dict[str, list[tuple[float, int, Reader]]]:
+    """All readers with their priorities, to go with the tasks: those of this package by name, others as they are."""
+    _load()
+    return {extension: list(known) for extension, known in _readers.items()}
+
+
+def install(readers: dict[str, list[tuple[float, int, Reader]]]) -> None:
+    """Makes the readers of a ``snapshot`` the ones of this process, in place of what an earlier task left."""
+    global _loaded
+    _loaded = True
+    _readers.clear()
+    _readers.update(readers)
+
+
 def clear_registry() -> None:
     """Forgets all readers; the next look-up does not load them again."""
     global _loaded

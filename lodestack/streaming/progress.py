@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import queue
+import secrets
+import socket
+import socketserver
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
-from threading import Event
+from threading import Event, Thread
 from typing import Protocol
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class ProgressEvent:
@@ -45,3 +53,74 @@ class ProgressEmitter:
 
     def is_cancelled(self) -> bool:
         return self._cancelled.is_set()
+
+
+@dataclass(frozen=True)
+class Address:
+    """Where tasks report to; the token keeps others out."""
+
+    host: str
+    port: int
+    token: str
+
+
+@contextmanager
+def listening(spark: SparkSession, heard: Callable[[str, str], None]) -> Iterator[Address]:
+    """Calls ``heard`` with each (path, status) that tasks report while the block lasts.
+
+    Executors talk to the driver anyway; this is one more port of it.  Reports are news,
+    not results: one that is lost, or comes twice from a repeated task, changes no table.
+    """
+    token = secrets.token_hex(16)
+
+    class Lines(socketserver.StreamRequestHandler):
+        def handle(self):
+            if self.rfile.readline(200).decode().strip() == token:
+                for line in self.rfile:
+                    heard(*json.loads(line))
+
+    class Server(socketserver.ThreadingTCPServer):
+        daemon_threads = True
+        allow_reuse_address = True
+
+    host = spark.conf.get("spark.driver.bindAddress", None) or spark.conf.get("spark.driver.host", "127.0.0.1")
+    server = Server((host, 0), Lines)
+    thread = Thread(target=server.serve_forever, kwargs={"poll_interval": 0.05}, daemon=True)
+    thread.start()
+    try:
+        yield Address(spark.conf.get("spark.driver.host", host), server.server_address[1], token)
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+@contextmanager
+def reporter(to: Address | None) -> Iterator[Callable[[str, str], None]]:
+    """In a task: a function that reports (path, status); it does nothing where there is no one to hear it."""
+    out = None
+    try:
+        if to is not None:
+            line = socket.create_connection((to.host, to.port), timeout=5)
+            out = line.makefile("w", encoding="utf-8")
+            out.write(to.token + "\n")
+    except OSError:
+        out = None
+
+    def tell(path: str, status: str) -> None:
+        nonlocal out
+        if out is not None:
+            try:
+                out.write(json.dumps([path, status]) + "\n")
+                out.flush()
+            except OSError:
+                out = None
+
+    try:
+        yield tell
+    finally:
+        if out is not None:
+            try:
+                out.close()
+                line.close()
+            except OSError:
+                pass

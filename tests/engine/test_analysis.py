@@ -222,7 +222,7 @@ def test_configuration(tmp_path, monkeypatch):
     assert (config.load_config().context_limit, config.load_config().scan.min_chars_file) == (5, 3)
     assert config.save_config(config.Config()).parent == own
     bad = config.Config(context_limit=0, margin=2, format="x", sort="x", max_depth=0, tokenizer_engine="x", scan=config.ScanConfig(-1, 0, 0, 2))
-    assert len(bad.validate()) == 8 and config.Config().validate() == []
+    assert len(bad.validate()) == 7 and config.Config().validate() == []
 
 
 def test_progress(spark, folder):

@@ -1,0 +1,379 @@
+"""What the engine does where files are many or large: listing, packing, ordered files, labels by rank, decisions from a profile."""
+
+import os
+import random
+import socket
+import threading
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestack import config
+from lodestack.functions import columns as C
+from lodestack.functions import decoding
+from lodestack.held import keep, released
+from lodestack.operators import assembly, budget, extraction, inventory, prefix
+from lodestack.plans import analysis, catalogue, formats
+from lodestack.sources import folders
+from lodestack.sources.readers import plain, registry
+from lodestack.streaming.progress import ProgressEmitter, listening, reporter
+
+LONG = "Une phrase assez longue pour que le fichier ne passe pas pour une image. " * 2
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+# --- listing ---
+
+
+@pytest.fixture
+def tree(tmp_path):
+    """A folder with nearly all files, a deep one, hidden names, folders to skip, a link to a folder and one to nothing."""
+    for name in ("big", "a/b/c/d", ".git", "_x", "__pycache__/y"):
+        (tmp_path / "t" / name).mkdir(parents=True)
+    root = tmp_path / "t"
+    for i in range(900):
+        (root / "big" / f"f{i}.txt").write_text("x" * (i % 7))
+    for name in ("a/one.md", "a/b/two.txt", "a/b/c/three.txt", "a/b/c/d/four.txt", "_x/.hidden", ".git/no", "__pycache__/y/no", "top.TXT", "_u.txt"):
+        (root / name).write_text(name)
+    os.symlink(root / "a", root / "link")
+    os.symlink(root / "nothing", root / "broken")
+    return root
+
+
+def walked(root, depth=12, recursive=True):
+    out = set()
+    for folder, below, files in os.walk(root):
+        level = len(os.path.relpath(folder, root).split(os.sep)) if folder != str(root) else 0
+        below[:] = [] if not recursive or level >= depth else [d for d in below if d not in (".git", "__pycache__")]
+        for f in files:
+            p = os.path.join(folder, f)
+            if os.path.exists(p):
+                out.add((p, f, os.path.relpath(p, root), level, os.stat(p).st_size, os.stat(p).st_mtime))
+    return out
+
+
+@pytest.mark.parametrize(("recursive", "depth"), [(True, 12), (True, 2), (False, 12), (True, 0)])
+def test_listing_equals_a_walk(spark, tree, recursive, depth):
+    want = walked(tree, depth, recursive)
+    assert {tuple(r) for r in folders.list_folder(spark, tree, recursive, depth).collect()} == want
+    assert {tuple(r) for r in folders.folder_source(spark, tree, recursive, depth).collect()} == want
+    with pytest.raises(NotADirectoryError):
+        folders.list_names(spark, tree / "top.TXT")
+
+
+def test_a_folder_with_nearly_all_files_is_asked_about_by_many_tasks(spark, tree):
+    rows = folders.list_folder(spark, tree).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(rows) >= 8 and max(r["count"] for r in rows) < 300
+
+
+def test_conditions_reach_the_listing(spark, tree):
+    assert {r.name for r in folders.list_folder(spark, tree, where="name LIKE '%.md' OR depth = 4").collect()} == {"one.md", "four.txt"}
+    reader = folders.FilteredFolderReader({"path": str(tree)})
+    left = list(reader.pushFilters([folders.LessThanOrEqual(("depth",), 2), folders.StringEndsWith(("name",), ".txt"), folders.In(("name",), ("two.txt", "three.txt", "_u.txt")), folders.EqualTo(("depth",), 1)]))
+    assert left == [folders.EqualTo(("depth",), 1)]
+    assert sorted(r[1] for p in reader.partitions() for r in reader.read(p)) == ["_u.txt", "two.txt"]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert [r.name for r in folders.folder_source(spark, tree).where("depth <= 2 AND name = 'two.txt'").collect()] == ["two.txt"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_a_store_that_spark_lists(spark, tree):
+    os.unlink(tree / "link")  # which local files of Spark's follow
+    seen = {(n, r, d, s) for _, n, r, d, s, _ in walked(tree) if s and not n.startswith(("_", ".")) and not r.startswith("_x")}
+    assert {(r.name, r.relative, r.depth, r.size_bytes) for r in folders.list_store(spark, f"file://{tree}").collect()} == seen
+    assert {r.name for r in folders.list_store(spark, f"file://{tree}/", recursive=False).collect()} == {"top.TXT"}
+    r = analysis.run_analysis(spark, f"file://{tree}")
+    assert r.decided.n_files == sum(n.lower().endswith((".txt", ".md")) for n, *_ in seen)
+    assert {x.relative_path: x.text for x in r.files.where("relative_path LIKE 'a/%'").collect()} == {p: p for p in ("a/one.md", "a/b/two.txt", "a/b/c/three.txt", "a/b/c/d/four.txt")}
+    r.release()
+
+
+# --- running sums, packing, ranges ---
+
+
+def test_running_sums_and_packing(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice([0, 1, 5, 40, 900])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i long, size long").repartition(7)
+    total, want = 0, {}
+    for i, s in rows:
+        want[i] = total
+        total += s
+    assert {r.i: r.before for r in prefix.running_sums(df, [F.col("i")], F.col("size")).collect()} == want
+    for target in (1000, 5000, 10**9):
+        per = prefix.packed(df, "size", [F.col("i")], target).groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.greatest("size", F.lit(1))).alias("b"), F.min("i").alias("a"), F.max("i").alias("z")).orderBy("p").collect()
+        assert max(r.b for r in per) < target + 900 and all(x.z < y.a for x, y in zip(per, per[1:], strict=False))
+    assert prefix.packed(df.limit(0), "size", [F.col("i")]).count() == 0
+    assert prefix.task_bytes(100 << 40, 1000) == -(-(100 << 40) // 100_000) and prefix.task_bytes(1000, 8) == 125
+
+
+def test_no_task_reads_more_than_twice_the_target(spark, tmp_path):
+    sizes = {"a": 10, "b": 100_000, "c": 0, "d": 3000, "e": 2999, "f": 3001}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(os.urandom(n))
+    rows = extraction.read_ranges(folders.list_folder(spark, tmp_path), 3000).withColumn("task", F.spark_partition_id()).cache()
+    assert max(r.b for r in rows.groupBy("task").agg(F.sum(F.length("raw")).alias("b")).collect()) <= 6000
+    for name in sizes:
+        parts = rows.where(F.col("path") == str(tmp_path / name)).orderBy("part").collect()
+        assert b"".join(r.raw for r in parts) == (tmp_path / name).read_bytes()
+
+
+def test_caches_go_with_their_block(spark):
+    with released():
+        held = keep(spark.range(10))
+        assert held.count() == 10 and held.is_cached
+    assert not held.is_cached
+
+
+# --- text without Python ---
+
+BYTES = [
+    b"", b"plain", "déjà €".encode(), b"\xef\xbb\xbf" + "é".encode(), b"\xef\xbb\xbfab\xff\xe2\x82c", "zß😀Ü".encode("utf-16"), "é😀".encode("utf-16-be").join([b"\xfe\xff", b""]), b"\xff\xfe", b"\xfe\xff",
+    b"\xff\xfea", b"\xff\xfe\x00\xd8a\x00", b"\xfe\xff\xdc\x00\x00a", "€ œuvre – “x”".encode("cp1252"), bytes(b for b in range(256) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)), b"\x81abc\xff", b"\xed\xa0\x80", b"\xc0\xaf", b"\xf4\x90\x80\x80",
+]
+
+
+def test_bytes_are_decoded_as_the_reader_does(spark):
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(BYTES)] + [(99, None)], "id int, raw binary")
+    got = {r.id: (r.text, r.encoding) for r in decoding.decoded(df).collect()}
+    assert got == {i: plain.decoded(b) for i, b in enumerate(BYTES)} | {99: ("", "utf-8")}
+    told = {r.id: r.e for r in df.select("id", decoding.encoding_of(F.coalesce("raw", F.lit(b""))).alias("e")).collect()}
+    assert {i for i, e in told.items() if e is None} == {9, 10, 11, 14, 17}
+
+
+def test_long_texts_take_no_stack(spark):
+    raw = ("abcß😀" * 400_000).encode("utf-16")
+    (r,) = decoding.decoded(spark.createDataFrame([(bytearray(raw),)], "raw binary")).select(F.length("text").alias("n"), "encoding").collect()
+    assert (r.n, r.encoding) == (5 * 400_000, "utf-16")
+
+
+@pytest.mark.parametrize("name", ["encoding_detect", "encoding_cp1252"])
+def test_texts_need_no_python(spark, sf_dir, name):
+    found = plan(catalogue.queries()[name](spark, sf_dir))
+    assert "Python" not in found and "Pandas" not in found and "Arrow" not in found
+
+
+# --- names ---
+
+
+def test_numbers_of_any_length_are_in_order(spark):
+    numbers = [0, 7, 10, 99, 100, 10**38 - 1, 10**39, 10**39 + 1, 10**400, 3 * 10**400]
+    want = ["f", "f0", *[f"f{n}.txt" for n in numbers[1:]], "fa", "g2/a10", "g10/a2"]
+    df = spark.createDataFrame([(x,) for x in random.Random(1).sample(want, len(want))], "n string")
+    assert [r.n for r in df.orderBy(C.natural_key(F.col("n")), "n").collect()] == want
+    assert len({r.k for r in spark.createDataFrame([("a007",), ("A7",), ("a0007",)], "n string").select(C.natural_key(F.col("n")).alias("k")).collect()}) == 1
+
+
+def test_names_are_folded_as_python_folds_them(spark):
+    letters = [chr(i) for i in range(1, 0x2C00) if chr(i).isalpha() and not 0x10A0 <= i < 0x1100 and not 0x1C80 <= i < 0x1CC0 and not 0x13A0 <= i < 0x1400]
+    folded = {r.c: r.f for r in spark.createDataFrame([(c,) for c in letters], "c string").select("c", C.casefold(F.col("c")).alias("f")).collect()}
+    ours, theirs = {}, {}
+    for c in letters:
+        ours.setdefault(folded[c], set()).add(c)
+        theirs.setdefault(c.casefold(), set()).add(c)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
+    rows = [(0, "/a/straße.txt", "straße.txt"), (0, "/b/STRASSE.TXT", "STRASSE.TXT")]
+    assert {r.relative_path for r in inventory.labelled(spark.createDataFrame(rows, "source_idx int, path string, preferred string")).collect()} == {"a/straße.txt", "STRASSE.TXT"}
+
+
+def in_turn(rows):
+    """Labels one after the other, of all colliding files in the order of the engine."""
+    fold = [p.casefold() for _, _, p in rows]
+    ordered = [(path, p) for _, path, p in rows if fold.count(p.casefold()) > 1]
+    return {path: p for _, path, p in rows} | inventory.unique_labels(ordered, {f for f in fold if fold.count(f) == 1})
+
+
+def test_numbers_of_labels_are_given_by_rank(spark, monkeypatch):
+    jobs = []
+    first = inventory._numbers
+    monkeypatch.setattr(inventory, "_numbers", lambda *a: jobs.append(1) or first(*a))
+    # A thousand names in other cases; some numbers are taken by names of other files, one of them by files that collide themselves.
+    names = sorted({"".join(c.upper() if i >> j & 1 else c for j, c in enumerate("abcdefghij")) for i in range(1000)})
+    rows = [(0, n, n) for n in names] + [(1, f"/q/{x}", x) for x in ("ABCDEFGHIJ (2)", "abcdefghij (4)", "abcdefghij (7)", "abcdefghij (07)", "abcdefghij (99999999999999999999)")]
+    rows += [(2, "/r/s/abcdefghij (9)", "abcdefghij (9)"), (2, "/t/u/ABCDEFGHIJ (9)", "ABCDEFGHIJ (9)")]
+    got = {r.path: r.relative_path for r in inventory.labelled(spark.createDataFrame(rows, "source_idx int, path string, preferred string")).collect()}
+    assert got == in_turn(rows) and len(jobs) <= 4
+    assert len({x.casefold() for x in got.values()}) == len(rows)
+
+
+def test_later_files_give_way_to_numbers_of_earlier_ones(spark):
+    rows = [(0, "f", "f"), (0, "F", "f"), (1, "/x/f (2)", "f (2)"), (1, "/y/F (2)", "F (2)"), (2, "/z/f (2)", "g"), (2, "/z/g", "G")]
+    order = sorted(rows, key=lambda r: (r[0], r[2].lower(), r[1]))
+    got = {r.path: r.relative_path for r in inventory.labelled(spark.createDataFrame(rows, "source_idx int, path string, preferred string")).collect()}
+    assert got == in_turn(order)
+
+
+# --- decisions from a profile ---
+
+
+def test_decisions_of_many_limits_equal_each_decision(spark, sf_dir):
+    files = catalogue._mixed(spark, sf_dir).cache()
+    found = budget.profile(files).cache()
+    limits = [1, 100, 1500, 1501, 8000, 10**9]
+    got = {r["context_limit"]: r for r in budget.decisions(found, [*limits, 100]).collect()}
+    assert sorted(got) == limits
+    for limit in limits:
+        want = budget.decision(files, limit).first().asDict()
+        assert {k: v for k, v in got[limit].asDict().items() if k != "context_limit"} == want
+    none = budget.decisions(budget.profile(files.limit(0)), [5]).first()
+    assert (none.n_files, none.n_blocking, none.first_blocking, none.is_blocked) == (0, 0, None, False)
+
+
+def test_one_pass_over_the_texts(spark, sf_dir):
+    """Totals, statuses and the decision under any number of limits hold one scan."""
+    assert plan(catalogue.queries()["limit_sweep"](spark, sf_dir)).count("FileScan parquet") <= 2  # the profile stands on both sides of a join
+    files = catalogue._txt(spark, sf_dir).drop("ignored", "failed")
+    result = analysis.AnalysisResult(files, spark.createDataFrame([], "path string, name string, reason_code string, reason string"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    result.recompute_limit(3)
+    assert result.is_blocked and result.decided.first_blocking is not None
+    assert "InMemoryTableScan" in plan(budget.decisions(result.profile, [5])) and before > 0
+    assert sum(result.summary().values()) == result.decided.n_files == result.count_base_status("ready") + result.count_base_status("low_text")
+
+
+def test_names_in_a_reason_are_bounded(spark, sf_dir):
+    files = catalogue._txt(spark, sf_dir)
+    n = budget.blocking_files(files, 10).count()
+    names = budget.blocking_names(files, 10, 3)
+    assert n > 3 and names == ["doc_0.txt", "doc_1.txt", "doc_2.txt"]
+    text = budget.block_reason(budget.Decision(n, 1, 1, 1, n, "doc_0.txt", 99, True, True), 10, names)
+    assert text.endswith(f"(doc_0.txt, doc_1.txt, doc_2.txt, … (+{n - 3}))")
+
+
+# --- one ordered file ---
+
+
+@pytest.mark.parametrize("end", [b"\n", b"\r\n"])
+def test_executors_write_one_ordered_file(spark, tmp_path, monkeypatch, end):
+    rng = random.Random(3)
+    blocks = [(i, rng.choice(["", "é", "x" * 5000, "日本\n"]) + str(i)) for i in range(500)]
+    df = spark.createDataFrame(rng.sample(blocks, len(blocks)), "ord long, block string").repartition(6)
+    for few in (0, 10**6):
+        monkeypatch.setattr(assembly, "FEW_PLACES", few)
+        path = tmp_path / f"out{few}.md"
+        size = assembly.write_ordered(df, path, b"head", end)
+        assert path.read_bytes() == b"head" + b"".join(end + b.encode() for _, b in blocks) and size == path.stat().st_size
+    assert assembly.write_ordered(df.limit(0), tmp_path / "none.md", b"head", end) == 4 and (tmp_path / "none.md").read_bytes() == b"head"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["none.md", "out0.md", "out1000000.md"]
+
+
+def test_a_corpus_does_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    root = tmp_path / "in"
+    root.mkdir()
+    for i in range(12):
+        (root / f"d{i}.txt").write_text(LONG + str(i))
+    r = analysis.run_analysis(spark, root)
+    now = datetime(2024, 1, 2)
+    want = assembly.preamble(r, now) + "".join(f"\n{x.block}" for x in assembly.corpus_blocks(r.files).orderBy("ord").collect())
+    monkeypatch.setattr(type(r.files), "toLocalIterator", None)
+    assembly.write_markdown(r, tmp_path / "c.md", now=now)
+    assert (tmp_path / "c.md").read_text() == want
+    r.release()
+
+
+# --- registration, configuration, events ---
+
+
+def test_registered_readers_reach_the_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "_readers", registry.snapshot())
+
+    def mine(raw, ext):
+        return registry.Extraction(text="mine " + raw.decode(), file_type="own")
+
+    registry.register(".zzz")(mine)
+    registry.register(".txt", priority=-1.0)(mine)
+    rows = spark.createDataFrame([(1, bytearray(b"a"))], "id long, raw binary")
+    for ext in (".zzz", ".txt"):
+        assert [(r.text, r.status) for r in formats.read_back(rows, "id", ext, None, ("raw",)).collect()] == [("mine a", "ready")]
+    (tmp_path / "x.txt").write_text("b")
+    (tmp_path / "y.zzz").write_text("c")
+    files, _ = inventory.collect_inputs(spark, tmp_path, extensions=(".txt", ".zzz"))
+    assert {r.text for r in extraction.extract(files).collect()} == {"mine b", "mine c"}
+    with_bytes = files.join(folders.store_bytes(spark, f"file://{tmp_path}").withColumn("path", F.regexp_replace("path", "^file:/+", "/")), "path")
+    assert {(r.text, r.file_type) for r in extraction.extract_bytes(with_bytes).collect()} == {("mine b", "own"), ("mine c", "own")}
+    monkeypatch.undo()
+    # The worker that ran these tasks does not keep them.
+    assert formats.read_back(rows, "id", ".zzz", None, ("raw",)).first().status == "ignored"
+    assert formats.read_back(rows, "id", ".txt", None, ("raw",)).first().text == "a"
+
+
+def test_configuration_is_coerced_and_falls_on(tmp_path, monkeypatch):
+    own, user = tmp_path / "own", tmp_path / "user"
+    monkeypatch.setattr(config, "program_dir", lambda: own)
+    monkeypatch.setattr(config, "user_dir", lambda: user)
+    own.mkdir()
+    (own / "lodestack.json").write_text('{"context_limit": "5000", "margin": "0.25", "recursive": 0, "exclude_globs": [1, "x"], "max_depth": 3.0, "scan": {"min_chars_file": "7", "sparse_page_ratio": 1}}')
+    c = config.load_config()
+    assert (c.context_limit, c.margin, c.recursive, c.exclude_globs, c.max_depth, c.scan.min_chars_file, c.scan.sparse_page_ratio) == (5000, 0.25, False, ["1", "x"], 3, 7, 1.0)
+    for bad in ("{broken", "[1]", '{"context_limit": "many"}', '{"margin": null}', '{"exclude_globs": 5}'):
+        (tmp_path / "named.json").write_text(bad)
+        assert config.load_config(tmp_path / "named.json") == c
+    (tmp_path / "named.json").write_bytes(b"\xff\xfe")
+    assert config.load_config(tmp_path / "named.json") == c and config.load_config(tmp_path / "missing.json") == c and config.load_config(tmp_path) == c
+    (own / "lodestack.json").write_text("{")
+    assert config.load_config(tmp_path / "named.json") == config.Config()
+
+
+def test_bounds_of_the_configuration():
+    assert config.Config(margin=-1, max_depth=100, context_limit=1).validate() == [] and config.Config(margin=10).validate() == []
+    assert len(config.Config(margin=10.5, max_depth=101, context_limit=10**6 + 1, scan=config.ScanConfig(10_001, 10_001, 0, 1.5)).validate()) == 6
+
+
+def test_events_come_while_a_part_is_read(spark, tmp_path, monkeypatch):
+    """One part, one task: its first file's event is there while a later file of it is still being read."""
+    root, seen = tmp_path / "in", tmp_path / "seen"
+    root.mkdir()
+    for i in range(6):
+        (root / f"d{i}.txt").write_text(LONG if i % 2 else "x")
+    monkeypatch.setattr(analysis, "MAX_PARTS", 1)
+    monkeypatch.setattr(registry, "_readers", registry.snapshot())
+    monkeypatch.setattr(extraction, "packed", lambda df, *a: df.orderBy("ord").coalesce(1))
+    where = str(seen)
+
+    def waits(raw, ext):
+        """The last file waits until the first one's event has been noticed."""
+        import time
+
+        for _ in range(300 if raw == b"last" else 0):
+            if os.path.exists(where):
+                break
+            time.sleep(0.1)
+        return plain.read_text(raw, ext)
+
+    registry.register(".txt", priority=-1.0)(waits)
+    (root / "z.txt").write_text("last")
+
+    class Notices(ProgressEmitter):
+        def emit(self, event):
+            if event.status != "pending":
+                seen.touch()
+            super().emit(event)
+
+    emitter = Notices()
+    began = datetime.now()
+    r = analysis.run_analysis(spark, root, emitter=emitter)
+    assert (datetime.now() - began).total_seconds() < 25 and seen.exists()
+    done = [e for e in emitter.drain() if e.status != "pending"]
+    assert [e.current for e in done] == list(range(1, 8))
+    assert {os.path.basename(e.file_path): e.status for e in done} == {x.relative_path: x.base_status for x in r.files.collect()}
+
+
+def test_reports_need_the_token_and_no_listener(spark):
+    heard, ready = [], threading.Event()
+    with listening(spark, lambda p, s: (heard.append((p, s)), ready.set())) as at:
+        with socket.create_connection((at.host, at.port)) as other:
+            other.sendall(b'wrong\n["x", "y"]\n')
+        with reporter(at) as tell:
+            tell("a\nb", "é")
+            assert ready.wait(10)
+    assert heard == [("a\nb", "é")]
+    with reporter(at) as tell:
+        tell("gone", "x")
+    with reporter(None) as tell:
+        tell("no one", "x")
