@@ -43,8 +43,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of a file from which a new one is begun; the largest hole that is read along; bytes of one read.
 FILE_BYTES, GAP, RUN = 64 << 20, 64 << 10, 4 << 20
-#: Archived bytes that one task reads back, about.
-TASK_BYTES = 16 << 20
+#: Archived bytes that one task reads back, about, and the most tasks: beyond them, tasks grow with the archives.
+TASK_BYTES, MOST_TASKS = 16 << 20, 100_000
 #: Rows that are Python objects at a time.
 ROWS = 64
 
@@ -183,7 +183,7 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataF
     # Each piece of a file holds RUN bytes at most, however many records are wanted from it.  The number of
     # tasks follows the archived bytes: the index rows, by which Spark would choose it, are small.
     wanted = index.agg(F.sum("length").alias("n")).first()["n"] or 0
-    tasks = max(1, -(-wanted // TASK_BYTES))
+    tasks = max(1, min(MOST_TASKS, -(-wanted // TASK_BYTES)))
     sorted_rows = spread.repartition(tasks, "file", "piece").sortWithinPartitions("file", "offset")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
