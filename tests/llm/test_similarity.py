@@ -180,6 +180,15 @@ def test_line_dedup_keeps_documents_of_one_id_apart(spark):
     assert kept == sorted([(3, "one two three four"), (7, "five six seven eight"), (7, b), (7, b)])
 
 
+def test_a_document_of_very_many_lines(spark):
+    """Removal takes time of the number of lines: a second or two for these, and hours if each were sought among the removed."""
+    many = 300_000
+    text = "\n".join(["alpha beta gamma delta"] * many + ["the last line is another"] + [""] * many + ["alpha beta gamma delta"])
+    rows = [(1, text), (2, "ALPHA beta gamma delta\nnew words stand here")]
+    kept = {r.doc_id: r.text for r in linededup.deduplicated(docs(spark, rows)).collect()}
+    assert kept == {1: "\n".join(["alpha beta gamma delta", "the last line is another"] + [""] * many), 2: "new words stand here"}
+
+
 def test_line_dedup_carries_columns_with_dots(spark):
     frame = spark.createDataFrame([(1, "a b c d\ne f", 5, "x"), (2, "A b c d", 6, "y")], "doc_id long, text string, `a.b` int, d string")
     out = linededup.deduplicated(frame)
