@@ -349,6 +349,31 @@ def test_the_tree_equals_a_plain_walk(spark, seed):
     assert all(r.verdict == ("block" if r.purity < urls.PURITY else "allow") for r in out)
 
 
+def test_jobs_do_not_follow_the_longest_path(spark, monkeypatch):
+    """Traps of very many segments are settled with the rest; the result is that of the plain walk."""
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: saved.append(name) or save(self, df, name))
+
+    def run(depth):
+        deep = ["/".join(f"s{i}" for i in range(depth)), "/".join(f"t{i}" if i % 7 else "" for i in range(depth)), "/".join(f"s{i}" for i in range(depth - 1)), "a//b/", "a/b/", ""]
+        urls_ = [f"http://h.example/{x}" for x in deep] + [f"http://k.example/{'x/' * depth}{i}" for i in "abc"]
+        pages = [(i, u) for i, u in enumerate(urls_ + [f"http://h.example/{'news' if i % 2 else 'spam'}/w{chr(97 + i % 9)}/p" for i in range(60)])]
+        labels = [(i, i % 2) for i in range(len(pages)) if i != 2]
+        saved.clear()
+        got = Counter((r.page_id, r.template) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect())
+        said, leaves, keys = dict(labels), {}, {}
+        for i, u in pages:
+            host, path = re.match(r"[^:]*://([^/?#]*)([^?#]*)", u).groups()
+            key = keys[i] = (host, re.sub("[0-9]+", "{n}", path.replace("*", "%2A")))
+            n, g = leaves.get(key, (0, 0))
+            leaves[key] = (n + (i in said), g + said.get(i, 0))
+        named = plain_templates(leaves)
+        assert got == Counter((i, named[k]) for i, k in keys.items())
+        return len(saved)
+
+    assert run(12) == run(300)
+
+
 def test_url_filters_run_no_python(spark, sf_dir, monkeypatch):
     plans = []
     save = Scratch.save
