@@ -290,6 +290,17 @@ def multi_source_union(spark, sf):
     return inventory.first_wins(rows[0].unionByName(rows[1]).unionByName(rows[2]), "key", [F.col("source_idx"), F.col("path")]).select("key", "source_idx")
 
 
+@query("SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::INTEGER AS source_idx, CASE WHEN doc_id % 2 = 0 THEN 'even' WHEN doc_id % 3 = 0 THEN 'third' ELSE 'all' END || '/' || doc_id AS path FROM documents")
+def sources_first_wins(spark, sf):
+    """Three sources that overlap, the last of which has every document: the first that has it gives the path."""
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("key"))
+    rows = None
+    for i, (name, part) in enumerate((("even", d.where("key % 2 = 0")), ("third", d.where("key % 3 = 0")), ("all", d))):
+        part = part.withColumn("source_idx", F.lit(i)).withColumn("path", F.concat_ws("/", F.lit(name), F.col("key").cast("string")))
+        rows = part if rows is None else rows.unionByName(part)
+    return inventory.first_wins(rows, "key", [F.col("source_idx"), F.col("path")])
+
+
 @query("""SELECT path, CASE WHEN path = min(path) OVER () THEN 'page.html' ELSE page_id || '/page.html' END AS relative_path
 FROM (SELECT page_id, '/' || regexp_extract(url, '://([^/?#]*)', 1) || '/' || page_id || '/page.html' AS path FROM pages)""")
 def unique_labels(spark, sf):

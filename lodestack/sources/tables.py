@@ -47,7 +47,9 @@ def as_mixed_files(docs: DataFrame) -> DataFrame:
 
 def conversation_pages(conversations: DataFrame) -> DataFrame:
     """Each conversation as a paged file: a page for each turn."""
-    pages = F.array_sort(F.collect_list(F.struct("turn", F.coalesce(F.col("text"), F.lit("")).alias("text"))))
-    grouped = conversations.groupBy("conv_id").agg(pages.alias("p"))
-    chars = F.transform("p", lambda x: F.length(x["text"]))
-    return grouped.select("conv_id", chars.alias("chars_per_page"), F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # Lengths and texts are gathered apart: where only one of them is wanted, the other is not gathered.
+    sizes = F.array_sort(F.collect_list(F.struct("turn", F.length(text).alias("n"))))
+    pages = F.array_sort(F.collect_list(F.struct("turn", text.alias("text"))))
+    grouped = conversations.groupBy("conv_id").agg(sizes.alias("s"), pages.alias("p"))
+    return grouped.select("conv_id", F.transform("s", lambda x: x["n"]).alias("chars_per_page"), F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
