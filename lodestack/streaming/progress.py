@@ -14,6 +14,7 @@ from threading import Event, Thread
 from typing import Protocol
 
 from pyspark.sql import SparkSession
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,35 @@ class ProgressEmitter:
         return self._cancelled.is_set()
 
 
+class StreamWatcher(StreamingQueryListener):
+    """Tells an emitter of a stream's micro-batches: rows read so far, out of those that have arrived.
+
+    ``spark.streams.addListener(StreamWatcher(emitter))``; each query is a file to the one that shows it, by its name.
+    """
+
+    def __init__(self, emitter: ProgressEmitter):
+        self.emitter, self.names, self.rows = emitter, {}, {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        id = str(event.id)
+        self.names[id], self.rows[id] = event.name or id, self.rows.get(id, 0)
+        self.emitter.emit(ProgressEvent(self.names[id], self.rows[id], self.rows[id], "pending"))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        id, n = str(event.progress.id), event.progress.numInputRows or 0
+        if n > 0:
+            self.rows[id] = self.rows.get(id, 0) + n
+            self.emitter.emit(ProgressEvent(self.names.get(id, id), self.rows[id], self.rows[id], "ready", f"batch {event.progress.batchId}"))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        id = str(event.id)
+        n = self.rows.get(id, 0)
+        self.emitter.emit(ProgressEvent(self.names.get(id, id), n, n, "error" if event.exception else "ready", event.exception or "ended"))
+
+
 @dataclass(frozen=True)
 class Address:
     """Where tasks report to; the token keeps others out."""

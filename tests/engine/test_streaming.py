@@ -1,12 +1,14 @@
 """The stream's end state equals the batch, however the events are cut."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import budget
 from lodestack.streaming import inventory as S
+from lodestack.streaming.progress import ProgressEmitter, StreamWatcher
 
 
 def events(seed, n=120):
@@ -66,3 +68,25 @@ def test_files_as_they_come(spark, tmp_path):
     rows = {(r.name, r.size_bytes, r.source_idx, r.reason_code) for r in S.left_out(S.current(spark, state)).collect()}
     assert rows == {("a.txt", 3, 1, None), ("b.exe", 1, 1, "unsupported")}
     assert S.current(spark, state).where(F.col("mtime") > 0).count() == 2
+
+
+def test_a_watcher_tells_of_each_batch(spark, tmp_path):
+    come, emitter = tmp_path / "events", ProgressEmitter()
+    for part in range(3):
+        spark.range(part + 1).coalesce(1).write.mode("append").parquet(str(come))
+    watcher = StreamWatcher(emitter)
+    spark.streams.addListener(watcher)
+    try:
+        rows = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(come))
+        query = rows.writeStream.format("noop").queryName("watched").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        events = []
+        for _ in range(200):
+            events += emitter.drain()
+            if events and events[-1].message == "ended":
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(watcher)
+    assert {e.file_path for e in events} == {"watched"} and events[0].status == "pending" and events[-1].current == 6
+    assert [e.status for e in events[1:-1]] == ["ready"] * 3 and [e.message for e in events[1:-1]] == ["batch 0", "batch 1", "batch 2"]
