@@ -19,8 +19,8 @@ The search.  For each query the leaves' bounds give the nearest and the farthest
 in them can be; leaves outside the annulus are passed over, the others are taken nearest
 first from the annulus's inner edge.  The first leaf gives the ``k``-th best score, which
 narrows the annulus for the rest; shells outside it are passed over too.  Blocks and the
-queries that visit them meet by one exchange on the block; a task holds one block at a time
-and scores visiting queries against it in tiles.  Anchors with equal vector and label are one
+queries that visit them meet by one exchange on the block, of which there are copies where
+many queries come; a task holds one block at a time and scores visiting queries in tiles.  Anchors with equal vector and label are one
 query.  Nothing is approximate: what is passed over can't be among the first ``k``.
 
 Defined results: rows with a null id, label or vector, or a null or non-finite component
@@ -55,6 +55,8 @@ POSITIVES = NEGATIVES = 5
 LOW = 80
 #: Classes that fit the tree; leaves at most; rows of a block; queries scored at a time.
 SAMPLE, LEAVES, BLOCK, TILE = 1 << 14, 1 << 10, 1024, 256
+#: Visits of a block that one task takes; where there are more, the block is repeated.
+SHARE = 1024
 NOTHING = np.iinfo(np.int64).min
 
 
@@ -237,23 +239,29 @@ class Index:
         met = met if self.tree.depth else F.lit(True)
         return leaves.join(few(blocks), "leaf").where(met).select("q", "vec", "label", "low", "high", "block")
 
-    def _scan(self, visits: DataFrame, k: int, same: bool) -> DataFrame:
+    def _scan(self, visits: DataFrame, k: int, same: bool, tag: str) -> DataFrame:
         """q, score, id: of each visited block the first ``k`` classes in the query's window, with all their ids."""
+        visits = self.scratch.save(visits, f"{tag}-visits")
         own = self.rows.select("block", F.lit(0).alias("kind"), "vec", "label", "ids", F.lit(None).cast("string").alias("q"), *(F.lit(None).cast("long").alias(c) for c in ("low", "high")))
         asks = visits.select("block", F.lit(1).alias("kind"), "vec", "label", F.lit(None).cast("array<long>").alias("ids"), "q", "low", "high")
-        together = own.unionByName(asks).repartition("block").sortWithinPartitions("block", "kind")
+        crowd = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_shares")).where("_shares > 1")
+        crowd = few(self.scratch.save(crowd, f"{tag}-crowd"))
+        own = own.join(crowd, "block", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+        asks = asks.join(crowd, "block", "left").withColumn("share", F.pmod(F.xxhash64("q"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
+        together = own.unionByName(asks).repartition("block", "share").sortWithinPartitions("block", "share", "kind")
+        together = together.select("block", "kind", "vec", "label", "ids", "q", "low", "high", "share")
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, parts, ready = None, [], None
             for batch in batches:
                 if not len(batch):
                     continue
-                blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
+                blocks, kinds, shares = (batch.column(i).to_numpy() for i in (0, 1, 8))
+                edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(shares) != 0) | (np.diff(kinds) != 0)) + 1
                 for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)], strict=True):
                     run = batch.slice(a, b - a)
-                    if blocks[a] != block:
-                        block, parts, ready = blocks[a], [], None
+                    if (blocks[a], shares[a]) != block:
+                        block, parts, ready = (blocks[a], shares[a]), [], None
                     if kinds[a] == 0:
                         parts.append(run)
                         continue
@@ -274,10 +282,10 @@ class Index:
             return found.withColumn("place", place).where(F.col("place") <= k)
 
         asked = queries.withColumn("start", F.col("low"))
-        one = self.scratch.save(best(self._scan(self._visits(asked, True), k, same)), f"{tag}-first")
+        one = self.scratch.save(best(self._scan(self._visits(asked, True), k, same, f"{tag}-one")), f"{tag}-first")
         kth = one.where(F.col("place") == k).select("q", F.col("score").alias("_kth"))
         rest = self.scratch.save(asked.join(kth, "q", "left").withColumn("low", F.greatest("low", F.coalesce("_kth", "low"))).drop("_kth"), f"{tag}-rest")
-        more = self._scan(self._visits(rest, False), k, same)
+        more = self._scan(self._visits(rest, False), k, same, f"{tag}-more")
         return self.scratch.save(best(more.unionByName(one.drop("place"))), f"{tag}-best")
 
 
