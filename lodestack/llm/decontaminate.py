@@ -12,8 +12,10 @@ meet.  Windows are about half as long as the items at most (``WINDOWS``), so tha
 item has several, and begin at every word of every document and of every item.  Where a walk goes from a word on
 depends on the step alone, so the walks of all windows are moved together, one array
 operation a step.  ``tables_for`` adds tables for each window size until the target recall
-is reached at every length of item, for the largest distance allowed, and warns if not.
-Items under ``LEAST`` words allow no edit and need no walk: the hash of the whole run is their key.
+is reached at every length of item, for the largest distance allowed.  Where ``MOST`` tables
+do not reach it, the items of that window size are looked up exactly instead: cut into one run
+more than the edits allowed, one of their runs at least stands unchanged in a copy, and the
+hash of a run is a key.  Items under ``LEAST`` words allow no edit: the whole is their run.
 
 A pair that meets is verified: first by the number of words it shares at least, then
 by the exact edit distance to the best run of words around (a bit-parallel scan).
@@ -27,7 +29,6 @@ give empty results; only ids and texts are read.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +45,7 @@ from .skew import without
 DISTANCE, RECALL, SAMPLED, WALKS = 0.2, 0.98, 4, 2
 #: Words of an item from which edits are allowed; (words of an item, from there on the words of a window).
 LEAST, WINDOWS = 8, ((8, 4), (12, 8), (32, 16), (64, 32))
-#: Edited copies for each length of item when tables are chosen, and tables of a window size at which that gives up.
+#: Edited copies for each length of item when tables are chosen, and tables of a window size beyond which runs of words take their place.
 TRIALS, MOST = 400, 256
 #: Items of one pass over the documents: what goes with the tasks is bounded by it.
 ITEMS = 5_000
@@ -121,10 +122,10 @@ def sampled_steps(size: int, table: int, sampled: int = SAMPLED) -> tuple[int, .
     return tuple(sorted(rng.choice(span, size=min(sampled, span), replace=False).tolist()))
 
 
-def plan_for(tables: dict[tuple[int, bool], int]) -> list[tuple[int, int, tuple[int, ...], int, bool]]:
-    """(walk, table number, steps, window size, whether for items under ``LEAST``) for each kind of window with its number of tables."""
-    plan = [(RUN, (size,), size, True) if short else (i % WALKS, sampled_steps(size, i), size, False) for (size, short), n in tables.items() for i in range(n)]
-    return [(number, t, steps, size, short) for t, (number, steps, size, short) in enumerate(plan)]
+def runs_of(n: int, distance: float) -> tuple[int, list[int]]:
+    """The length of runs of words, and where they begin in an item of ``n`` words, of which a copy edited as far as allowed keeps one."""
+    count = (int(distance * n) if n >= LEAST else 0) + 1
+    return n // count, [i * n // count for i in range(count)]
 
 
 def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -141,8 +142,8 @@ def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array(out, dtype=np.uint64)
 
 
-def tables_for(items: list[np.ndarray], size: int, recall: float = RECALL, distance: float = DISTANCE, most: int = MOST) -> int:
-    """Tables with which copies of the items that have windows of ``size`` are met often enough, at each length.
+def tables_for(items: list[np.ndarray], size: int, recall: float = RECALL, distance: float = DISTANCE, most: int | None = None) -> int | None:
+    """Tables (None: more than ``most``) with which copies of the items that have windows of ``size`` are met often enough, at each length.
 
     Copies are edited as far as allowed and stand between other words.  All items take
     part, each as often as their length needs for ``TRIALS`` copies; lengths from twice
@@ -173,15 +174,14 @@ def tables_for(items: list[np.ndarray], size: int, recall: float = RECALL, dista
     source = np.array(originals, np.uint64)[copy.astype(np.int64)]
     kind, met = group[np.array(originals)], np.zeros(len(copies), dtype=bool)
     of, source = mix(of), mix(source)
-    for t in range(most):
+    for t in range(MOST if most is None else most):
         plan = [(t % WALKS, t, sampled_steps(size, t))]
         (_, known), (_, keys) = *table_keys(words, plan), *table_keys(others, plan)
         met[copy[np.isin(mix(keys[spots] ^ source), mix(known[places] ^ of))].astype(np.int64)] = True
         least = min(met[kind == g].mean() for g in np.unique(kind))
         if t >= 3 and least >= recall:
             return t + 1
-    warnings.warn(f"{most} tables of windows of {size} words meet {least:.3f} of the copies at some length of item, not {recall}", stacklevel=2)
-    return most
+    return None
 
 
 def build(ids: list[int], texts: list[str | None], recall: float = RECALL, distance: float = DISTANCE) -> Index:
@@ -189,20 +189,34 @@ def build(ids: list[int], texts: list[str | None], recall: float = RECALL, dista
     for _, _, raw, offsets in text_blocks(pa.array(texts, pa.string())):
         w, first = words_of(raw, offsets)
         words += [w[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-    kinds = sorted({(window_size(len(w)), len(w) < LEAST) for w in words if len(w)})
     tables = []
-    for number, table, steps, size, short in plan_for({(size, short): 1 if short else tables_for(words, size, recall, distance) for size, short in kinds}):
+
+    def add(walk: int, steps: tuple[int, ...], size: int, places: dict[int, list[int] | np.ndarray]) -> None:
+        """A table of the keys of windows of ``size`` at the given places of each item."""
         keys, items, starts = [], [], []
-        for i, w in enumerate(words):
-            if len(w) and window_size(len(w)) == size and (len(w) < LEAST) == short:
-                (_, k), = table_keys(w, [(number, table, steps)])
-                count = len(w) - size + 1
-                keys.append(k[:count])
-                items.append(np.full(count, i))
-                starts.append(np.arange(count))
+        for i, at in places.items():
+            (_, k), = table_keys(words[i], [(walk, 0, steps)])
+            keys.append(k[at])
+            items.append(np.full(len(at), i))
+            starts.append(np.asarray(at))
         k, i, s = np.concatenate(keys), np.concatenate(items), np.concatenate(starts)
         order = np.argsort(k, kind="stable")
-        tables.append((number, np.array(steps), k[order], i[order].astype(np.int32), s[order].astype(np.int32)))
+        tables.append((walk, np.array(steps), k[order], i[order].astype(np.int32), s[order].astype(np.int32)))
+
+    exact = [i for i, w in enumerate(words) if 0 < len(w) < LEAST]
+    for size in sorted({window_size(len(w)) for w in words if len(w) >= LEAST}):
+        mine = [i for i, w in enumerate(words) if len(w) >= LEAST and window_size(len(w)) == size]
+        count = tables_for(words, size, recall, distance)
+        if count is None:
+            exact += mine
+        for t in range(count or 0):
+            add(t % WALKS, sampled_steps(size, t), size, {i: np.arange(len(words[i]) - size + 1) for i in mine})
+    runs: dict[int, dict[int, list[int]]] = {}
+    for i in exact:
+        size, places = runs_of(len(words[i]), distance)
+        runs.setdefault(size, {})[i] = places
+    for size, places in sorted(runs.items()):
+        add(RUN, (size,), size, places)
     return Index(np.array(ids, dtype=np.int64), words, tables)
 
 

@@ -228,10 +228,25 @@ def test_chunks_of_words_do_not_show(monkeypatch):
     assert decontaminate.search(text, first, index, filters, 0.2) == whole and len(whole) >= 5
 
 
-def test_a_recall_out_of_reach_is_reported():
+def test_runs_take_the_place_of_tables_that_do_not_reach_the_recall(monkeypatch):
+    """Every copy edited as far as allowed is met, at every length of item."""
     items = [np.arange(100 * i, 100 * i + 8).astype(np.uint64) for i in range(20)]
-    with pytest.warns(UserWarning, match="1 tables"):
-        assert decontaminate.tables_for(items, decontaminate.window_size(8), recall=1.1, most=1) == 1
+    assert decontaminate.tables_for(items, decontaminate.window_size(8), recall=1.1, most=1) is None
+    monkeypatch.setattr(decontaminate, "MOST", 0)
+    rng = np.random.default_rng(9)
+    lengths = [3, 7, 8, 9, 11, 12, 16, 31, 32, 33, 50, 64, 70]
+    index = decontaminate.build(list(range(len(lengths))), [" ".join(f"i{i}x{j}" for j in range(n)) for i, n in enumerate(lengths)])
+    assert all(walk == decontaminate.RUN for walk, *_ in index.tables)
+    filters = []
+    for _, _, keys, _, _ in index.tables:
+        f = np.zeros(1 << decontaminate.FILTER_BITS, bool)
+        f[keys >> np.uint64(64 - decontaminate.FILTER_BITS)] = True
+        filters.append(f)
+    for i, n in enumerate(lengths):
+        edits = int(0.2 * n) if n >= decontaminate.LEAST else 0
+        texts = [np.concatenate([rng.integers(1 << 62, size=9).astype(np.uint64), decontaminate.edited(index.words[i], edits, rng), rng.integers(1 << 62, size=9).astype(np.uint64)]) for _ in range(60)]
+        first = np.cumsum([0, *map(len, texts)])
+        assert {d for d, hit, _ in decontaminate.search(np.concatenate(texts), first, index, filters, 0.2) if hit == i} == set(range(60)), n
 
 
 def test_decontamination_equals_brute_force_on_documents(spark, sf_dir):
