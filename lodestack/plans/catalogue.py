@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..constants import EXTENSIONS, IMAGE_EXTENSIONS, SPECIAL_FILES, TOO_LARGE
 from ..functions import columns as C
 from ..functions import decoding
-from ..operators import assembly, budget, inventory, prefix
+from ..operators import assembly, budget, extraction, inventory, prefix
 from ..sources import folders
 from ..sources.tables import as_mixed_files, as_text_files, conversation_pages, read
 from . import formats
@@ -349,6 +349,69 @@ def folder_listing(spark, sf):
     return folders.list_folder(spark, root).select("relative", "depth", "size_bytes")
 
 
+# --- folders made of all documents ---
+
+_PLACE = "CASE WHEN doc_id % 10 = 9 THEN source || '/__pycache__/' WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN source || '/' WHEN doc_id % 4 = 2 THEN source || '/sub/' ELSE source || '/sub/deep/' END"
+_TREE = f"(SELECT *, {_PLACE} || name AS relative, len(string_split({_PLACE}, '/')) - 1 AS depth, doc_id % 10 = 9 AS pruned FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS size, 'doc_' || doc_id || '.' || {_EXT} AS name FROM documents))"
+
+
+def _placed(spark, sf):
+    """relative, raw: every document as a file, in folders up to three deep, some of which are never read."""
+    f = as_mixed_files(read(spark, sf, "documents"))
+    id, source = F.col("ord"), F.coalesce("source", F.lit(""))
+    place = F.when(id % 4 == 0, F.lit("")).when(id % 4 == 1, F.concat(source, F.lit("/"))).when(id % 4 == 2, F.concat(source, F.lit("/sub/"))).otherwise(F.concat(source, F.lit("/sub/deep/")))
+    place = F.when(id % 10 == 9, F.concat(source, F.lit("/__pycache__/"))).otherwise(place)
+    return f.select(F.concat(place, "name").alias("relative"), F.col("text").cast("binary").alias("raw"))
+
+
+@query(f"SELECT relative, depth::INTEGER AS depth, size::BIGINT AS size_bytes FROM {_TREE} WHERE NOT pruned AND depth <= 1")
+def folder_depth_limit(spark, sf):
+    return folders.list_folder(spark, folders.write_tree(_placed(spark, sf)), max_depth=1).select("relative", "depth", "size_bytes")
+
+
+@query(f"SELECT name, size::BIGINT AS size_bytes FROM {_TREE} WHERE depth = 0")
+def folder_flat(spark, sf):
+    return folders.list_folder(spark, folders.write_tree(_placed(spark, sf)), recursive=False).select("name", "size_bytes")
+
+
+@query(f"SELECT relative, depth::INTEGER AS depth FROM {_TREE} WHERE NOT pruned AND (name LIKE '%.md' OR depth = 3)")
+def folder_pruned(spark, sf):
+    """Folders that are never read are passed over, and a condition on names and depth comes before any file is asked for."""
+    return folders.list_folder(spark, folders.write_tree(_placed(spark, sf)), where="name LIKE '%.md' OR depth = 3").select("relative", "depth")
+
+
+@query(f"SELECT relative AS relative_path, CASE WHEN {_SUFFIX} IN {_IN(EXTENSIONS)} THEN 'read' WHEN {_SUFFIX} IN {_IN(IMAGE_EXTENSIONS)} THEN 'image' ELSE 'unsupported' END AS fate FROM {_TREE} WHERE NOT pruned")
+def folder_inventory(spark, sf):
+    """What of a folder is read, and why the rest is not."""
+    root = folders.write_tree(_placed(spark, sf))
+    files, out = inventory.collect_inputs(spark, root)
+    return files.select("relative_path", F.lit("read").alias("fate")).unionByName(out.select(F.substring("path", len(root) + 2, 10**6).alias("relative_path"), F.col("reason_code").alias("fate")))
+
+
+@query(f"SELECT relative, greatest(ceil(size / 4096.0), 1)::BIGINT AS parts, size::BIGINT AS bytes, md5(text) AS digest FROM {_TREE} WHERE NOT pruned")
+def range_read(spark, sf):
+    """Files read in ranges of four kilobytes by many tasks, and put together again."""
+    root = folders.write_tree(_placed(spark, sf))
+    parts = extraction.read_ranges(folders.list_folder(spark, root), 4096)
+    whole = parts.groupBy("path").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.octet_length("raw")).alias("bytes"), F.array_sort(F.collect_list(F.struct("part", F.hex("raw").alias("h")))).alias("p"))
+    raw = F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), ""))
+    return whole.select(F.substring("path", len(root) + 2, 10**6).alias("relative"), "parts", F.col("bytes").cast("long").alias("bytes"), F.md5(raw).alias("digest"))
+
+
+_ON_DISK = _TXT.replace("'doc_' || doc_id || '.txt' AS relative_path", "coalesce(source, '') || '/doc_' || doc_id || '.txt' AS relative_path")
+
+
+@query(_estimated(_ON_DISK) + f" SELECT relative_path, {_BLOCKED} AS status, bytes_utf8, tokens_estimated, tokens_with_margin FROM est")
+def analyse_folder(spark, sf):
+    """The whole analysis of a folder that holds every document as a text file."""
+    from .analysis import run_analysis
+
+    d = read(spark, sf, "documents")
+    name = F.concat(F.coalesce("source", F.lit("")), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    root = folders.write_tree(d.select(name.alias("relative"), F.coalesce("text", F.lit("")).cast("binary").alias("raw")))
+    return run_analysis(spark, root, context_limit=1500).files.select("relative_path", "status", "bytes_utf8", "tokens_estimated", "tokens_with_margin")
+
+
 # --- corpus and reports ---
 
 _TICKED = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a ' || repeat('`', (doc_id % 7)::INTEGER) || ' b' || coalesce(text, '') ELSE coalesce(text, '') END AS text FROM documents)"
@@ -387,6 +450,13 @@ def report_rows(spark, sf):
     return assembly.report_rows(budget.blocked(_mixed(spark, sf), 10**12)).select("ord", "row", "text_length")
 
 
+@query(_estimated(_MIXED) + """ SELECT ord, '{"relative_path":"' || relative_path || '","extension":"' || file_type || '","file_type":"' || file_type || '","size_bytes":' || size_bytes || ',"text_length":' || length(text) || ',"status":"' || base_status
+|| '","image_count":' || image_count || ',"page_count":' || page_count || ',"encoding":' || CASE WHEN encoding IS NULL THEN 'null' ELSE '"' || encoding || '"' END || ',"chars_per_page":[' || array_to_string(chars, ',') || '],"tokens_estimated":' || tokens_estimated || ',"tokens_with_margin":' || tokens_with_margin || '}' AS json FROM est""")
+def report_json(spark, sf):
+    """Each file of the JSON report: all that is known of it but its text."""
+    return assembly.file_json(assembly.report_rows(budget.blocked(_mixed(spark, sf), 10**12)))
+
+
 @query("SELECT doc_id, replace(format('{:,}', n_chars * 1000), ',', chr(160)) AS fr, format('{:,}', n_chars * 1000) AS en FROM documents")
 def number_format(spark, sf):
     n = F.col("n_chars") * 1000
