@@ -389,6 +389,17 @@ def test_url_filters_run_no_python(spark, sf_dir, monkeypatch):
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_columns_of_other_tables_with_the_operators_own_names_change_nothing(spark):
+    rows = [(i, f"http://h{i % 3}.example/a{i % 2}/{i}", f"<p>{i % 4}</p>") for i in range(30)] + [(30, None, None), (3, "http://h.example/x", "<p>3</p>")]
+    plain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    names = ("host", "shape", "template", "path", "rule", "file", "offset", "payload", "record_type", "digest", "segment", "rest", "tail")
+    more = plain.withColumns({n: F.lit("x") for n in names})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    same = lambda f, *a: sorted(map(str, f(plain, *a).collect())) == sorted(map(str, f(more, *(x.withColumn("page_id", F.lit(1)).withColumn("good", F.lit(9)) for x in a)).collect()))
+    assert same(urls.judge, labels)
+    assert same(warc.round_trip)
+
+
 # --- pipeline ---
 
 
