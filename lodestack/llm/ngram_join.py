@@ -16,7 +16,7 @@ a subtraction.
 Equal sets are one class, and only its smallest document is indexed.  Documents that
 share a key are first held against the key's first document; what these links
 leave apart is then compared pairwise, in keys with few open pairs directly, in
-others behind a prefix and positional filter over the rarest shingles.  Every pair
+others behind a prefix and positional filter over the rarest shingles, by the counts of their buckets.  Every pair
 that shares a key is either verified exactly, excluded by an exact bound (the elements in
 which the sets differ within a quarter of the universe are too many already), or
 already known to be in one component; nothing is capped.
@@ -45,8 +45,8 @@ from .skew import few, without
 #: Each further word of a shingle makes it so much less likely that an unrelated document holds it too.
 #: This estimate only decides between subsets and neighbourhoods; both are exact.
 CHANCE = 1 / 8
-#: Open pairs in a key from which the prefix filter takes over.
-OPEN = 64
+#: Open pairs in a key from which the prefix filter takes over; buckets in which it counts elements.
+OPEN, ORDERS = 64, 1 << 16
 
 
 def set_of(words: np.ndarray, k: int) -> np.ndarray:
@@ -161,15 +161,39 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch:
     return pairs
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, pos, token: of each set the rarest elements, of which two linked sets share one at least.
+
+    How common an element is, is told by the count of its bucket, one of ``ORDERS``; equal ones go by
+    their hash.  Any one order keeps the join exact, and this one asks for no exchange of the elements.
+    """
+    counted = sets.select(F.explode("shingles").alias("t")).groupBy(F.col("t").bitwiseAND(ORDERS - 1).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
+    common = np.zeros(ORDERS, np.int64)
+    for r in counted:
+        common[r["b"]] = r["c"]
+    shared = ship(sets.sparkSession).sparkContext.broadcast(common)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+            ids, sizes, places, tokens = [], [], [], []
+            for id, start, end in zip(batch.column(0).to_numpy(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                mine, size = values[start:end], end - start
+                order = np.lexsort((mine, shared.value[mine & (ORDERS - 1)]))[: size + percent * size // -100 + 1]
+                ids.append(np.full(len(order), id))
+                sizes.append(np.full(len(order), size, np.int32))
+                places.append(np.arange(len(order), dtype=np.int32))
+                tokens.append(mine[order])
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, sizes, places, tokens)], names=["doc_id", "n", "pos", "token"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(work, "doc_id long, n int, pos int, token long")
+
+
 def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that pass the prefix, positional and length filters."""
-    rows = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    rarity = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # A token of one set can't be shared, but counts in the positions.
-    ordered = rows.join(rarity, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    prefix = F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    index = ordered.select("doc_id", "n", F.posexplode(prefix).alias("pos", "e")).where("e.df > 1")
-    index = index.join(labels, "doc_id", "left").select("doc_id", "n", "pos", F.col("e.token").alias("token"), F.coalesce("component", "doc_id").alias("component"))
+    index = prefixes(sets, percent).join(labels, "doc_id", "left").select("doc_id", "n", "pos", "token", F.coalesce("component", "doc_id").alias("component"))
     a = index.select("token", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "pos", "component")))
     b = index.select("token", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "pos", "component")))
     bound = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
