@@ -5,9 +5,13 @@ import random
 import socket
 import threading
 from datetime import datetime
+from functools import lru_cache
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from lodestack import config
 from lodestack.functions import columns as C
@@ -16,7 +20,8 @@ from lodestack.held import keep, released
 from lodestack.operators import assembly, budget, extraction, inventory, prefix
 from lodestack.plans import analysis, catalogue, formats
 from lodestack.sources import folders
-from lodestack.sources.readers import plain, registry
+from lodestack.sources.readers import mail, plain, registry
+from lodestack.sources.tables import read
 from lodestack.streaming.progress import ProgressEmitter, listening, reporter
 
 LONG = "Une phrase assez longue pour que le fichier ne passe pas pour une image. " * 2
@@ -124,6 +129,31 @@ def test_no_task_reads_more_than_twice_the_target(spark, tmp_path):
         assert b"".join(r.raw for r in parts) == (tmp_path / name).read_bytes()
 
 
+def test_files_made_of_a_small_table_are_dealt_out(spark, sf_dir):
+    """A table of one split is read back by all cores."""
+    assert read(spark, sf_dir, "customer").rdd.getNumPartitions() == 1
+    for name in ("docx_text", "pptx_text", "xlsx_text", "pdf_text", "html_text", "mhtml_text", "eml_parts_text"):
+        assert catalogue.queries()[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
+
+
+def test_texts_read_back_leave_the_worker_in_small_batches(spark, monkeypatch):
+    rows, work = spark.range(1000).select("id", F.lit("<p>x").cast("binary").alias("raw")), []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema: work.append(f) or self)
+    formats.read_back(rows, "id", ".html", None, ("raw",))
+    batch = pa.table({"id": pa.array(range(1000)), "raw": [b"<p>x"] * 1000}).to_batches()[0]
+    sizes = [b.num_rows for b in work[0](iter([batch]))]
+    assert sum(sizes) == 1000 and max(sizes) <= formats.TEXTS
+
+
+def test_equal_mail_headers_are_parsed_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(mail, "_kept", lru_cache(64)(lambda name, value: seen.append((name, value)) or mail._parsed(name, value)))
+    texts = {mail.read_mhtml(formats.mhtml(f"name {i}", i, "A"), ".mhtml").text for i in range(20)}
+    assert len(texts) == 20 and len(seen) == len(set(seen)) <= 8
+    long = "x" * 2 * mail.SHORT
+    assert f"**Sujet** : {long}" in mail.read_eml(f"Subject: {long}\r\n\r\nbody".encode(), ".eml").text and all(len(v) <= mail.SHORT for _, v in seen)
+
+
 def test_caches_go_with_their_block(spark):
     with released():
         held = keep(spark.range(10))
