@@ -79,18 +79,22 @@ def decisions(profile: DataFrame, limits: list[int], margin: float = MARGIN, pre
     sum over the limits, of which there are as many as were asked for.
     """
     marks = sorted(set(limits))
-    live = profile.where(C.is_extracted(F.col("base_status")))
+    live = C.is_extracted(F.col("base_status"))
     above = F.size(F.filter(F.array(*(F.lit(m).cast("long") for m in marks)), lambda m: m < F.col("tokens")))
-    per = live.groupBy(above.alias("_i")).agg(F.sum("n").alias("_n"), F.min("first").alias("_first")).where("_i > 0")
-    asked = profile.sparkSession.createDataFrame([(i + 1, m) for i, m in enumerate(marks)], "_i int, context_limit long").join(F.broadcast(per), "_i", "left")
+    # Groups for the limits and for the totals at once, and no condition on ``above``, which Spark would ask of every file.
+    sums = (F.sum(c).alias(a) for c, a in (("n", "n_files"), ("bytes_utf8", "bytes_utf8"), ("tokens_estimated", "_t")))
+    per = profile.groupBy(above.alias("_i")).agg(F.sum(F.when(live, F.col("n"))).alias("_n"), F.min(F.when(live, F.col("first"))).alias("_first"), *sums)
+    asked = profile.sparkSession.createDataFrame(list(enumerate([None, *marks])), "_i int, context_limit long").join(F.broadcast(per), "_i", "left")
+    every = Window.partitionBy()
     down = Window.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    asked = asked.select("context_limit", F.coalesce(F.sum("_n").over(down), F.lit(0)).alias("n_blocking"), F.min("_first").over(down).alias("_first"))
-    totals = profile.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("n", "n_files"), ("bytes_utf8", "bytes_utf8"), ("tokens_estimated", "_t"))))
+    totals = asked.select(
+        "_i", "context_limit", F.coalesce(F.sum("_n").over(down), F.lit(0)).alias("n_blocking"), F.min("_first").over(down).alias("_first"),
+        *(F.coalesce(F.sum(c).over(every), F.lit(0)).alias(c) for c in ("n_files", "bytes_utf8", "_t")),
+    )
     totals = totals.withColumn("tokens_estimated", (F.col("_t") if precise else C.approx_tokens(F.col("bytes_utf8"))).cast("long"))
     totals = totals.withColumn("tokens_with_margin", C.with_margin(F.col("tokens_estimated"), margin))
-    rows = asked.join(F.broadcast(totals))  # one row
     total_over = F.col("tokens_with_margin") > F.col("context_limit")
-    return rows.select(
+    return totals.where("_i > 0").select(
         "context_limit", "n_files", "bytes_utf8", "tokens_estimated", "tokens_with_margin", "n_blocking", F.col("_first.relative_path").alias("first_blocking"), F.col("_first.tokens_with_margin").alias("first_tokens"),
         total_over.alias("total_over"), ((F.col("n_blocking") > 0) | total_over).alias("is_blocked"),
     )

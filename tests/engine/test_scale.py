@@ -267,6 +267,13 @@ def test_one_pass_over_the_texts(spark, sf_dir):
     assert sum(result.summary().values()) == result.decided.n_files == result.count_base_status("ready") + result.count_base_status("low_text")
 
 
+def test_limits_are_not_asked_of_every_file(spark, sf_dir):
+    """Each file's estimate is made once, whatever the number of limits: no limit is compared below the profile."""
+    text = plan(catalogue.queries()["limit_sweep"](spark, sf_dir))
+    assert text.count("FileScan parquet") == 1
+    assert "lambda" not in "".join(line for line in text.splitlines() if " Filter" in line)
+
+
 def test_names_in_a_reason_are_bounded(spark, sf_dir):
     files = catalogue._txt(spark, sf_dir)
     n = budget.blocking_files(files, 10).count()
