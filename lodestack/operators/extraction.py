@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from .prefix import packed, ranges
 
 log = logging.getLogger(__name__)
 COLUMNS = [c.split()[0] for c in EXTRACTED.replace("map<string,string>", "map").split(", ")]
+#: Bytes, or characters, of content after which a task sends on what it has read.
+SENT = 1 << 20
 #: Extensions whose text is the file's bytes as they are.
 AS_IS = tuple(e for e, kind in FORMATS.items() if kind in ("text", "markdown", "plain"))
 
@@ -57,11 +60,18 @@ def extract(inventory: DataFrame, done: Address | None = None, status: Callable[
         registry.install(readers)
         with reporter(done) as tell:
             for batch in batches:
+                held, size = [], 0
                 for row in batch.itertuples(index=False):
-                    # A frame per file: texts can be megabytes each.
                     found = read_one(row.path, row.relative_path, row.ext, row.size_bytes, row.ord)
                     tell(row.path, status(found) if status else "")
-                    yield pd.DataFrame([found], columns=COLUMNS)
+                    held.append(found)
+                    size += len(found[5] or "")
+                    # Small files share a frame; texts can be megabytes each.
+                    if size >= SENT:
+                        yield pd.DataFrame(held, columns=COLUMNS)
+                        held, size = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=COLUMNS)
 
     ship(inventory.sparkSession)
     narrow = inventory.select("path", "relative_path", "ext", "size_bytes", "ord")
@@ -97,18 +107,29 @@ def extract_bytes(files: DataFrame) -> DataFrame:
     return texts.unionByName(others)
 
 
-def read_ranges(inventory: DataFrame, target: int) -> DataFrame:
-    """path, part, offset, raw: the files' bytes in ranges of ``target`` at most, dealt out so that no task reads more than twice that."""
+def read_ranges(inventory: DataFrame, target: int, shared: bool = False) -> DataFrame:
+    """path, part, offset, raw: the files' bytes in ranges of ``target`` at most, dealt out so that no task reads more than twice that.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    That is a task for each ``target`` bytes of the input.  Where ranges are small, ``shared`` packs them into
+    tasks as whole files are, so that the number of tasks does not follow that of the ranges.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                with open(row.path, "rb") as f:
-                    f.seek(row.offset)
-                    yield pd.DataFrame({"path": [row.path], "part": [row.part], "offset": [row.offset], "raw": [f.read(row.length)]})
+            at, size = 0, 0
+            raw: list[bytes] = []
+            for path, offset, length in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True):
+                with open(path, "rb") as f:
+                    f.seek(offset)
+                    raw.append(f.read(length))
+                size += length
+                if size >= SENT or at + len(raw) == batch.num_rows:
+                    own = batch.slice(at, len(raw))
+                    yield pa.RecordBatch.from_arrays([own.column(c) for c in ("path", "part", "offset")] + [pa.array(raw, pa.binary())], names=["path", "part", "offset", "raw"])
+                    at, size, raw = at + len(raw), 0, []
 
     rows = ranges(inventory.select("path", "size_bytes"), "size_bytes", target)
-    return packed(rows, "length", [F.col("path"), F.col("part")], target).mapInPandas(work, "path string, part int, offset long, raw binary")
+    return packed(rows, "length", [F.col("path"), F.col("part")], None if shared else target).mapInArrow(work, "path string, part int, offset long, raw binary")
 
 
 def is_failed(status: str = "extract_status"):

@@ -392,7 +392,7 @@ def folder_inventory(spark, sf):
 def range_read(spark, sf):
     """Files read in ranges of four kilobytes by many tasks, and put together again."""
     root = folders.write_tree(_placed(spark, sf))
-    parts = extraction.read_ranges(folders.list_folder(spark, root), 4096)
+    parts = extraction.read_ranges(folders.list_folder(spark, root), 4096, shared=True)
     whole = parts.groupBy("path").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.octet_length("raw")).alias("bytes"), F.array_sort(F.collect_list(F.struct("part", F.hex("raw").alias("h")))).alias("p"))
     raw = F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), ""))
     return whole.select(F.substring("path", len(root) + 2, 10**6).alias("relative"), "parts", F.col("bytes").cast("long").alias("bytes"), F.md5(raw).alias("digest"))

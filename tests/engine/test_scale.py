@@ -129,6 +129,16 @@ def test_no_task_reads_more_than_twice_the_target(spark, tmp_path):
         assert b"".join(r.raw for r in parts) == (tmp_path / name).read_bytes()
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """The tasks follow the cores and the bytes, not the number of ranges."""
+    for i in range(3):
+        (tmp_path / str(i)).write_bytes(os.urandom(40_000))
+    rows = extraction.read_ranges(folders.list_folder(spark, tmp_path), 100, shared=True)
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1 and rows.count() == 1200
+    for i in range(3):
+        assert b"".join(r.raw for r in rows.where(F.endswith("path", F.lit(f"/{i}"))).orderBy("part").collect()) == (tmp_path / str(i)).read_bytes()
+
+
 def test_files_made_of_a_small_table_are_dealt_out(spark, sf_dir):
     """A table of one split is read back by all cores."""
     assert read(spark, sf_dir, "customer").rdd.getNumPartitions() == 1
