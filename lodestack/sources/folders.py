@@ -158,11 +158,13 @@ def write_tree(files: DataFrame) -> str:
     atexit.register(shutil.rmtree, root, ignore_errors=True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n, made = 0, set()
         for b in batches:
             for relative, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 path = os.path.join(root, relative)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
+                if (folder := os.path.dirname(path)) not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 # A repeated task writes the same file again.
                 with open(path, "wb") as f:
                     f.write(raw or b"")

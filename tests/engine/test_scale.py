@@ -139,6 +139,18 @@ def test_small_ranges_share_tasks(spark, tmp_path):
         assert b"".join(r.raw for r in rows.where(F.endswith("path", F.lit(f"/{i}"))).orderBy("part").collect()) == (tmp_path / str(i)).read_bytes()
 
 
+def test_small_files_share_frames(spark, tmp_path, monkeypatch):
+    """Texts are sent on together up to a bound of their size."""
+    for i in range(30):
+        (tmp_path / f"{i}.txt").write_text("x" * 100)
+    batch, work = pd.DataFrame([(str(tmp_path / f"{i}.txt"), f"{i}.txt", ".txt", 100, i) for i in range(30)], columns=["path", "relative_path", "ext", "size_bytes", "ord"]), []
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda self, f, schema: work.append(f) or self)
+    extraction.extract(spark.createDataFrame(batch))
+    assert [len(f) for f in work[0](iter([batch]))] == [30]
+    monkeypatch.setattr(extraction, "SENT", 1000)
+    assert [len(f) for f in work[0](iter([batch]))] == [10, 10, 10]
+
+
 def test_files_made_of_a_small_table_are_dealt_out(spark, sf_dir):
     """A table of one split is read back by all cores."""
     assert read(spark, sf_dir, "customer").rdd.getNumPartitions() == 1
