@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.llm import linededup, ngram_join
 from lodestack.llm.bytescan import NOT_SPACE, shingle_hashes, word_bounds, word_hashes
@@ -217,3 +218,28 @@ def test_line_dedup_runs_no_python(spark, sf_dir, monkeypatch):
     assert len(plans) > 8
     for plan in plans:
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_constant_of_the_rarity_is_short_in_plans(spark):
+    """The driver keeps plans as text: the array of all buckets takes a few characters for each."""
+    docs = spark.createDataFrame([(0, "a b c d e")], "doc_id long, text string")
+    steps = linededup.rarity(docs.select(linededup.hashes(F.col("text")).alias("hashes")))
+    text = spark.range(1).select(F.get(steps, F.col("id").cast("int")))._jdf.queryExecution().executedPlan().toString()
+    assert len(text) < 5 * linededup.COUNTS
+
+
+def test_long_unrelated_lines_are_told_apart_in_the_join(spark):
+    """Two lines of 150 and more words, one in ten shared, seldom pass both parities; related ones always do."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    common, rows = [word() for _ in range(15)], []
+    for i in range(60):
+        own = common + [word() for _ in range(150)]
+        rows.append((2 * i, " ".join(own)))
+        rows.append((2 * i + 1, " ".join(own[:-12] + [word() for _ in range(12)])))
+    h = linededup.hashes(F.col("text"))
+    lines = spark.createDataFrame(rows, "d long, text string").select("d", F.size(h).alias("n"), F.lit(0).alias("p"), linededup.parity(h).alias("s"), linededup.half_parity(h).alias("v")).cache()
+    a, b = (lines.select(*(F.col(c).alias(f"{c}{x}") for c in lines.columns)) for x in "ab")
+    got = {(r.da, r.db) for r in a.join(b, F.col("da") < F.col("db")).where(linededup._fits(80, 1)).select("da", "db").collect()}
+    related = {(2 * i, 2 * i + 1) for i in range(60)}
+    assert related <= got and len(got - related) < 10
