@@ -243,3 +243,34 @@ def test_long_unrelated_lines_are_told_apart_in_the_join(spark):
     got = {(r.da, r.db) for r in a.join(b, F.col("da") < F.col("db")).where(linededup._fits(80, 1)).select("da", "db").collect()}
     related = {(2 * i, 2 * i + 1) for i in range(60)}
     assert related <= got and len(got - related) < 10
+
+
+def below_exchanges(plan):
+    """What stands below each exchange that a repartition asks for, without the numbers of columns."""
+    lines = plan.split("\n")
+    return [re.sub(r"#\d+L?", "", lines[i + 1]).lstrip(" :+-") for i, line in enumerate(lines) if "REPARTITION_BY_COL" in line]
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of the tables that are saved, by name."""
+    out = {}
+    save = Scratch.save
+
+    def seen(self, df, name):
+        out[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    return out
+
+
+def test_line_dedup_deals_its_words_out_once(spark, monkeypatch, plans):
+    """Both sides of the join share one exchange, and no table of all words is kept."""
+    monkeypatch.setattr(linededup, "STAR", 2)
+    monkeypatch.setattr(linededup, "SAMPLE", 1)
+    rows = near_copies(3, 10, 12)
+    assert {(r.d, r.l) for r in linededup.removed_lines(docs(spark, rows)).collect()} == removed(rows)
+    assert "star-1-closed" in plans and "hashes" not in plans
+    a, b = below_exchanges(plans["near-1"])
+    assert a == b
