@@ -218,10 +218,11 @@ def similar_documents(df: DataFrame, k: int = 3, percent: int = 90, text: str =
         copies = members.where("doc_id <> first").select("doc_id", "h1", "h2").distinct()
         index = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "h1", "h2", "keys")
         index = index.join(few(copies), ["doc_id", "h1", "h2"], "left_anti").select("doc_id", F.explode("keys").alias("key"))
-        # Saved first: the shuffle files of the count are gone before those of the join are written.
-        shared = scratch.save(index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "shared")
-        # Only rows whose key has company; all that follows is over these.
-        met = scratch.save(index.join(shared, "key").select("key", "doc_id").distinct(), "met")
+        # Only rows whose key has company; all that follows is over these.  One exchange serves both sides, whatever
+        # the input's size: a count of its own would be an exchange more, and a broadcast only while keys are few.
+        index = index.repartition("key")
+        shared = index.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key")
+        met = scratch.save(index.join(shared.hint("shuffle_hash"), "key").select("key", "doc_id").distinct(), "met")
         scratch.drop("signed")
         first = met.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
         first = scratch.save(first, "first")

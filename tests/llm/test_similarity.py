@@ -274,3 +274,9 @@ def test_line_dedup_deals_its_words_out_once(spark, monkeypatch, plans):
     assert "star-1-closed" in plans and "hashes" not in plans
     a, b = below_exchanges(plans["near-1"])
     assert a == b
+
+
+def test_ngram_join_deals_its_keys_out_once(spark, plans):
+    ngram_join.similar_documents(docs(spark, near_copies(3, 10, 12))).collect()
+    a, b = below_exchanges(plans["met"])
+    assert a == b and plans["met"].count("Exchange hashpartitioning(key") == 2
